@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from graphloom.llm import license_scan, line_dedup, url_filter
+from graphloom.llm import license_scan, line_dedup, near_dedup, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op4_near_dedup": near_dedup.query,
     "op6_line_dedup": line_dedup.query,
     "op9_license_scan": license_scan.query,
 }
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op4_near_dedup": near_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
 }
