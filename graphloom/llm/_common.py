@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Where intermediates go if the session names no shared folder (tests, one machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/graphloom"
 
@@ -76,3 +80,22 @@ def lower_ascii(c: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def append_arrow(docs: DataFrame, run, fields: str) -> DataFrame:
+    """docs plus the columns of fields, which run(batch) returns as Arrow arrays; like-named input columns give way."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    added = _parse_datatype_string(fields)
+    taken = {f.name.lower() for f in added}
+    kept = [f for f in docs.schema if f.name.lower() not in taken]
+    names = [f.name for f in kept]
+    new = [f.name for f in added]
+
+    def each(batches):
+        for batch in batches:
+            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*arrays, *run(batch)], names=[*names, *new])
+
+    return docs.mapInArrow(each, StructType([*kept, *added]))
