@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontaminate, license_scan, line_dedup, near_dedup, quality, url_filter
+from graphloom.llm import chat_tree, decontaminate, license_scan, line_dedup, near_dedup, quality, secrets_scan, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op3_quality_rules": quality.query,
     "op4_near_dedup": near_dedup.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_secret_scan": secrets_scan.query,
+    "op8_chat_formatting": chat_tree.query,
     "op9_license_scan": license_scan.query,
     "op10_decontamination": decontaminate.query,
 }
@@ -17,6 +19,7 @@ ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op8_chat_formatting": chat_tree.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
