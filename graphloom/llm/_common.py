@@ -34,13 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path for an intermediate, remembered for release()."""
+def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder, remembered in written() unless it is to be kept."""
     path = f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if not keep:
+        _written.append(path)
     return path
 
 
+def written() -> list[str]:
+    """Paths of the intermediates that still exist."""
+    return list(_written)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts the lineage durably."""
     spark = df.sparkSession
@@ -67,9 +73,9 @@ def discard(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all intermediates written so far. Only for callers that have written their results."""
-    for path in list(_written):
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediates. Only for callers whose results no longer read them."""
+    for path in list(paths):
         delete_path(spark, path)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat_tree, decontaminate, license_scan, line_dedup, near_dedup, quality, secrets_scan, url_filter
+from graphloom.llm import chat_tree, decontaminate, license_scan, line_dedup, mixing, near_dedup, quality, secrets_scan, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_warc_assembly": warc.query,
     "op3_quality_rules": quality.query,
     "op4_near_dedup": near_dedup.query,
+    "op5_source_mixing": mixing.query,
     "op6_line_dedup": line_dedup.query,
     "op7_secret_scan": secrets_scan.query,
     "op8_chat_formatting": chat_tree.query,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op2_warc_assembly": warc.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_chat_formatting": chat_tree.ORACLE,
