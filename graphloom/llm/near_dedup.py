@@ -11,8 +11,11 @@ miss each other in all buckets with a probability of 3e-7. Candidates are confir
 Buckets are never expanded into all pairs:
 1. each class is compared with one centre, the smallest id of the bucket it shares most buckets with;
 2. confirmed links give components; buckets that lie in one component are done;
-3. in each bucket left, the members outside its largest component meet the members of other components, if
-   their signatures are near enough (``FAR`` positions of 64); what is confirmed joins components.
+3. members of the buckets left ("mixed") that are outside the largest component of one are held against the mixed
+   members of other components by their rarest shingles: with shingles in one global order, rarest among the mixed members first,
+   two linked sets share a shingle among the first fifth of both, and the first that they share leaves enough
+   behind it on both sides (prefix, length and positional filters). This is exact, and a member whose own edits alone
+   rule out a link costs no pair. What is confirmed joins components.
 So every pair that meets in a bucket and is linked ends in one component.
 
 Scale: bucket centres are pre-aggregated; joins on buckets and classes are splittable when skewed; texts are
@@ -33,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._common import discard, materialize, table
@@ -43,11 +46,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 POSITIONS = 64
 CHUNKS = 12
-#: Signatures that differ in more positions are no candidates: for sets of similarity 0.8 that is six standard deviations away.
-FAR = 32
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 WORDS_CACHED = 1_000_000
+#: Ratio of neighbouring size bands in the comparison of mixed members.
+BAND = 1.05
 
 _U = np.uint64
 
@@ -125,12 +128,16 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["id", "key"])
 
 
-def _far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop pairs (a, b, sig_a, sig_b) whose signatures differ in more than FAR positions."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, token) for every shingle of (id, text)."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), np.uint16).reshape(-1, POSITIONS) for c in (2, 3))
-        near = pa.array((a != b).sum(axis=1) <= FAR)
-        yield batch.select([0, 1]).filter(near)
+        for k in range(0, batch.num_rows, 500):
+            part = batch.slice(k, 500)
+            sets = [shingles(x.as_py()) for x in part.column(1)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            if sizes.sum():
+                ids = np.repeat(part.column(0).to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "token"])
 
 
 def _confirm(percent: int):
@@ -156,13 +163,44 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _mixed_pairs(shared: DataFrame, joined: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the members of mixed buckets that may be linked."""
+    placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("major"))
+    members = materialize(placed.join(mixed, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("major")).alias("minor")), "mixed")
+
+    tokens = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_tokens, "id long, n long, token long")
+    tokens = materialize(tokens, "tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("id").orderBy("often", "token")
+    prefix = (
+        tokens.join(often, "token")
+        .withColumn("at", F.row_number().over(rarest) - 1)
+        .where(F.col("at") * 100 <= F.col("n") * (100 - percent))
+        .join(members, "id")
+        .select("id", "n", "token", "at", "component", "minor")
+    )
+    prefix = materialize(prefix, "prefix")
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
+    least, most = F.col("n") * percent / 100, (F.col("n") - F.col("at")) * (100 + percent) / percent - F.col("n")
+    asks = prefix.where("minor").where(most >= least).withColumn("band", F.explode(F.sequence(band(least), band(most))))
+    asks = asks.select("token", "band", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("cx"))
+    have = prefix.select("token", band(F.col("n")).alias("band"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("ay"), F.col("component").alias("cy"))
+    enough = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = asks.join(have, ["token", "band"]).where((F.col("cx") != F.col("cy")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    near = materialize(met.distinct(), "near")
+    for done in (members, tokens, prefix):
+        discard(done)
+    return near
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(own.mapInArrow(_describe, "id long, n_shingles long, h1 long, h2 long, sig binary"), "sets")
     member = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = materialize(member.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("sig").alias("sig")), "classes")
-    sigs = classes.groupBy("id").agg(F.max("sig").alias("sig"))
 
     keys = classes.select("id", "sig").mapInArrow(_index, "id long, key long")
     centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where(F.col("centre") < F.col("top")).drop("top")
@@ -175,21 +213,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(_linked(nearest, texts, percent), "links")
     joined = materialize(components(links), "components")
 
-    placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("major"))
-    left = materialize(placed.join(mixed, "key"), "mixed")
-    minor = left.where("component != major").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    others = left.select("key", F.col("id").alias("b"), F.col("component").alias("of_b"), (F.col("component") == F.col("major")).alias("is_major"))
-    met = minor.join(others, "key").where("of_a != of_b AND (is_major OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sided = met.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = materialize(sided.select("a", "b", "sig_a", "sig_b").mapInArrow(_far, "a long, b long"), "near")
+    near = _mixed_pairs(shared, joined, texts, percent)
     more = materialize(_linked(near, texts, percent), "links")
     if not more.isEmpty():
         before = joined
         joined = materialize(components(links.unionByName(more)), "components")
         discard(before)
-    for done in (texts, shared, left, near, links, more):
+    for done in (texts, shared, near, links, more):
         discard(done)
 
     named = classes.select("h1", "h2", F.col("id").alias("head")).join(joined.withColumnRenamed("node", "head"), "head", "left").select("h1", "h2", F.coalesce("component", "head").alias("component"))
