@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphloom.plans import catalog_graph, catalog_models, catalog_sparql
+
+QUERIES = {**catalog_sparql.QUERIES, **catalog_graph.QUERIES, **catalog_models.QUERIES}
+ORACLES = {**catalog_sparql.ORACLES, **catalog_graph.ORACLES, **catalog_models.ORACLES}
 
 
 def flagship(spark, sf_dir):
+    """Customers by region through mapping, reasoning and SPARQL."""
     return QUERIES["sparql_flagship"](spark, sf_dir)
