@@ -75,7 +75,8 @@ def _align_pair(spark, sf_dir):
     yes = F.lit(True)
     source = _part_terms(spark, sf_dir, yes, lambda c: c, "src")
     target = _part_terms(spark, sf_dir, yes, lambda c: F.upper(c), "tgt")
-    return source, target
+    bare = lambda g: Graph(g.quads.where(F.col("p") != T.DOMAIN))
+    return bare(source), bare(target)
 
 
 @contract("align_candidates")
