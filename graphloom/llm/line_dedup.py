@@ -12,7 +12,8 @@ per document only. No Python anywhere.
 
 Edge cases: a null text stays null with zero lines; texts of fewer than three lines are left as they are; rows
 that repeat (same id, same text) count as one document and get the same result; a null doc_id is an id of its
-own, before all others; a document whose lines are all removed gets an empty text. Other columns pass through.
+own, before all others; a document whose lines are all removed gets an empty text. Other columns pass through; columns with a result's name
+give way to it.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later copies of three-line windows cut from text_col, plus n_lines and n_removed (of them)."""
     n = WINDOW_LINES
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
     windows = _windows(docs, id_col, text_col)
     place = F.struct("__id", "__hash", "__at")
     repeated = windows.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where(~F.col("__first").eqNullSafe(F.col("__last")))
