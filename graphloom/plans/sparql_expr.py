@@ -244,13 +244,13 @@ def _round(c: Column) -> Column:
 
 def _regex(text: Val, pattern: Val, flags: Val | None = None) -> Val:
     mode = T.value_of(flags.const) if flags is not None and flags.const else ""
-    p = F.concat(F.lit("(?" + "".join(c for c in mode if c in "ismx") + ")"), pattern.text) if mode else pattern.text
+    p = F.concat(F.lit("(?u" + "".join(c for c in mode if c in "ismx") + ")"), pattern.text) if mode else pattern.text
     return Bool(F.regexp_like(text.plain, p))
 
 
 def _replace(text: Val, pattern: Val, by: Val, flags: Val | None = None) -> Val:
     mode = T.value_of(flags.const) if flags is not None and flags.const else ""
-    p = F.concat(F.lit("(?" + "".join(c for c in mode if c in "ismx") + ")"), pattern.text) if mode else pattern.text
+    p = F.concat(F.lit("(?u" + "".join(c for c in mode if c in "ismx") + ")"), pattern.text) if mode else pattern.text
     return Str(F.regexp_replace(text.plain, p, by.text), text)
 
 
