@@ -116,42 +116,44 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def chain_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log likelihood of labels y, and its gradients by the emission weights w (2, f) and the transitions t (2, 2)."""
+    """Log likelihood of labels y (b, n) for chains of one length x (b, n, f), summed over chains, and its gradients by the
+    emission weights w (2, f) and the transitions t (2, 2)."""
     e = x @ w.T
-    n = len(e)
-    a, b = np.empty((n, 2)), np.zeros((n, 2))
-    a[0] = e[0]
+    m, n = y.shape
+    a, b = np.empty((m, n, 2)), np.zeros((m, n, 2))
+    a[:, 0] = e[:, 0]
     for k in range(1, n):
-        a[k] = e[k] + _log_sum(a[k - 1][:, None] + t, 0)
+        a[:, k] = e[:, k] + _log_sum(a[:, k - 1, :, None] + t, 1)
     for k in range(n - 2, -1, -1):
-        b[k] = _log_sum(t + (e[k + 1] + b[k + 1])[None, :], 1)
-    z = _log_sum(a[-1], 0)
-    p = np.exp(a + b - z)
-    gw = np.zeros_like(w)
-    for label in (0, 1):
-        gw[label] = ((y == label) - p[:, label]) @ x
+        b[:, k] = _log_sum(t + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2)
+    z = _log_sum(a[:, -1], 1)
+    p = np.exp(a + b - z[:, None, None])
+    gw = np.stack([np.einsum("bn,bnf->f", (y == label) - p[:, :, label], x) for label in (0, 1)])
     gt = np.zeros((2, 2))
-    score = e[np.arange(n), y].sum() - z
+    score = np.take_along_axis(e, y[:, :, None], 2).sum() - z.sum()
     if n > 1:
-        gt -= np.exp(a[:-1, :, None] + t[None] + (e[1:] + b[1:])[:, None, :] - z).sum(0)
-        np.add.at(gt, (y[:-1], y[1:]), 1)
-        score += t[y[:-1], y[1:]].sum()
+        gt -= np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
+        np.add.at(gt, (y[:, :-1], y[:, 1:]), 1)
+        score += t[y[:, :-1], y[:, 1:]].sum()
     return float(score), gw, gt
 
 
 def train_field(labelled: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and transitions from (text, label) samples; None unless both labels are there."""
-    chains = [(x, np.full(len(x), label)) for text, label in labelled if text and len((x := line_features(text)[0]))]
-    if len({int(y[0]) for _, y in chains}) < 2:
+    chains = [(x, label) for text, label in labelled if text and len((x := line_features(text)[0]))]
+    if len({label for _, label in chains}) < 2:
         return None
+    lengths = sorted({len(x) for x, _ in chains})
+    groups = [[(x, label) for x, label in chains if len(x) == n] for n in lengths]
+    batches = [(np.stack([x for x, _ in g]), np.repeat([[label] for _, label in g], n, axis=1)) for n, g in zip(lengths, groups, strict=True)]
     w, t = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
     sums = [np.zeros_like(w), np.zeros_like(t)]
     for _ in range(EPOCHS):
         gw, gt = -L2 * len(chains) * w, -L2 * len(chains) * t
-        for x, y in chains:
+        for x, y in batches:
             _, dw, dt = chain_gradient(x, y, w, t)
-            gw += dw / len(x)  # each document weighs the same
-            gt += dt / len(x)
+            gw += dw / y.shape[1]  # each document weighs the same
+            gt += dt / y.shape[1]
         for v, g, s in ((w, gw, sums[0]), (t, gt, sums[1])):
             s += g * g
             v += RATE * g / np.sqrt(s + 1e-9)

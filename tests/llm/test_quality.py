@@ -44,7 +44,7 @@ def test_viterbi_is_the_best_sequence():
 
 def test_gradient_matches_differences():
     draw = np.random.default_rng(3)
-    x, y = draw.normal(size=(6, len(Q.FEATURES))), np.array([0, 1, 1, 0, 1, 0])
+    x, y = draw.normal(size=(3, 6, len(Q.FEATURES))), draw.integers(0, 2, (3, 6))
     w, t = draw.normal(size=(2, len(Q.FEATURES))), draw.normal(size=(2, 2))
     _, gw, gt = Q.chain_gradient(x, y, w, t)
     for v, g in ((w, gw), (t, gt)):
