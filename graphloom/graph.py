@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans import sparql
-from graphloom.session import materialize
+from graphloom.session import local_frame, materialize
 
 QUADS = "s string, p string, o string, g string"
 
@@ -39,7 +39,7 @@ class Graph:
 
     @classmethod
     def rows(cls, spark: SparkSession, rows: list[tuple]) -> Graph:
-        return cls.of(spark.createDataFrame([(*r, None) if len(r) == 3 else tuple(r) for r in rows], QUADS))
+        return cls.of(local_frame(spark, [(*r, None) if len(r) == 3 else tuple(r) for r in rows], ["s", "p", "o", "g"]))
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Graph:

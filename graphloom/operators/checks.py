@@ -31,10 +31,10 @@ def stats(g: Graph) -> DataFrame:
     """One row: triples, classes, properties, individuals, object_properties (all of them), data_properties (0)."""
     t = g.triples
     schema = {f"<{T.OWL}Class>", f"<{T.RDFS}Class>"}
-    classes = functools.reduce(DataFrame.union, [_typed(g, *schema), *[_place(g, p, w) for p, w in ((T.SUBCLASS, "s"), (T.SUBCLASS, "o"), (T.DOMAIN, "o"), (T.RANGE, "o"), (T.EQUIVALENT_CLASS, "s"), (T.TYPE, "o"))]])
+    classes = functools.reduce(DataFrame.union, [_typed(g, *schema), *[_place(g, p, w) for p, w in ((T.SUBCLASS, "s"), (T.SUBCLASS, "o"), (T.DOMAIN, "o"), (T.RANGE, "o"), (T.EQUIVALENT_CLASS, "s"))]])
     classes = classes.where(T.is_iri(F.col("e")) & ~F.col("e").isin(*BUILTIN_CLASSES)).distinct()
-    kinds = [f"<{T.OWL}ObjectProperty>", f"<{T.OWL}DatatypeProperty>", f"<{T.RDF}Property>", f"<{T.OWL}AnnotationProperty>"]
-    props = functools.reduce(DataFrame.union, [_typed(g, *kinds), _place(g, T.DOMAIN, "s"), _place(g, T.RANGE, "s"), _place(g, T.SUBPROPERTY, "s"), _place(g, T.SUBPROPERTY, "o"), t.select(F.col("p").alias("e"))])
+    kinds = [f"<{T.OWL}ObjectProperty>", f"<{T.OWL}DatatypeProperty>", f"<{T.RDF}Property>"]
+    props = functools.reduce(DataFrame.union, [_typed(g, *kinds), _place(g, T.DOMAIN, "s"), _place(g, T.RANGE, "s"), _place(g, T.SUBPROPERTY, "s"), _place(g, T.SUBPROPERTY, "o")])
     builtin = functools.reduce(Column.__or__, [F.col("e").startswith(f"<{n}") for n in BUILTIN_NAMESPACES])
     props = props.where(T.is_iri(F.col("e")) & ~builtin).distinct()
     people = t.where((F.col("p") == T.TYPE) & ~F.col("o").isin(*SCHEMA_TYPES)).select(F.col("s").alias("e")).distinct()

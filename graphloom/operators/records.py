@@ -90,9 +90,14 @@ def focal_length(camera: Column, told: Column | None = None) -> Column:
 # geometry ----------------------------------------------------------------------------------------
 
 
+def _six(c: Column) -> Column:
+    """A number with up to six decimals."""
+    return F.regexp_replace(c.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
+
+
 def polygon(points: Column) -> Column:
     """WKT of an array of (lon, lat) structs."""
-    return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(points, lambda p: F.concat(F.format_number(p["lon"], "0.######"), F.lit(" "), F.format_number(p["lat"], "0.######"))), ", "), F.lit("))"))
+    return F.concat(F.lit("POLYGON(("), F.array_join(F.transform(points, lambda p: F.concat(_six(p["lon"]), F.lit(" "), _six(p["lat"]))), ", "), F.lit("))"))
 
 
 def footprint(lat: Column, lon: Column, altitude_m: Column, focal_mm: Column, edge_mm: Column | None = None, heading: Column | None = None) -> Column:

@@ -223,10 +223,11 @@ def union_of(spark, sf_dir):
 
 
 @contract("stats_graph", """
-SELECT (SELECT count(*) FROM nation)::BIGINT * 3 + (SELECT count(*) FROM region) * 2 AS triples, 2::BIGINT AS classes, 1::BIGINT AS properties,
+SELECT (SELECT count(*) FROM nation)::BIGINT * 3 + (SELECT count(*) FROM region) * 2 + 2 AS triples, 2::BIGINT AS classes, 1::BIGINT AS properties,
        ((SELECT count(*) FROM nation) + (SELECT count(*) FROM region))::BIGINT AS individuals, 1::BIGINT AS object_properties, 0::BIGINT AS data_properties""")
 def stats_graph(spark, sf_dir):
-    return checks.stats(graph_of(spark, sf_dir, "nation", "region"))
+    schema = literal_rows(spark, [(ex("region"), T.DOMAIN, ex("Nation")), (ex("region"), T.RANGE, ex("Region"))])
+    return checks.stats(graph_of(spark, sf_dir, "nation", "region").add(schema))
 
 
 @contract("diff_triples", f"""

@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import bounded_rows, materialize
+from graphloom.session import bounded_rows, local_frame, materialize
 
 DRIVER_EDGES = 20_000
 DRIVER_PAIRS = 500_000
@@ -46,7 +46,7 @@ def closure(edges: DataFrame, driver_edges: int = DRIVER_EDGES, driver_pairs: in
     if rows is not None:
         pairs = close_pairs([(r["s"], r["o"]) for r in rows], driver_pairs)
         if pairs is not None:
-            return spark.createDataFrame(sorted(pairs), "s string, o string")
+            return local_frame(spark, sorted(pairs), ["s", "o"])
     every = fresh = materialize(edges, "closure")
     while True:
         grown = fresh.select("s", F.col("o").alias("m")).join(every.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
@@ -72,7 +72,7 @@ def reach(edges: DataFrame, seeds: DataFrame, driver_edges: int = DRIVER_EDGES)
             if n not in seen:
                 seen.add(n)
                 todo.extend(nexts.get(n, ()))
-        return spark.createDataFrame([(n,) for n in sorted(seen)], "n string")
+        return local_frame(spark, [(n,) for n in sorted(seen)], ["n"])
     found = fresh = materialize(seeds.select(F.col("n").alias("s")).join(edges, "s").select(F.col("o").alias("n")).distinct(), "reach")
     while not fresh.isEmpty():
         step = fresh.select(F.col("n").alias("s")).join(edges, "s").select(F.col("o").alias("n")).distinct()

@@ -1,7 +1,7 @@
 """Rule reasoning as a semi-naive fixpoint: profiles rdfs, owl-rl and owl-rl-ext.
 
 Schema slices (subclass, subproperty, domain, range and the role axioms) are closed first; then instance rules run over what was
-new in the round before, until nothing is new. Domains, ranges, role characteristics, inverses and restrictions are read
+new in the round before, until nothing is new. RDFS alone needs one pass where no axiom is about the axioms' own predicates. Domains, ranges, role characteristics, inverses and restrictions are read
 from the input once. What was found is written to the shared folder every round. Unknown profiles mean rdfs.
 
 Deliberate rules of this engine: rdfs11 gives no reflexive facts; ranges type IRIs only; symmetric and inverse rules make no
@@ -143,9 +143,39 @@ class _Rules:
         return out
 
 
+def _single_pass(base: DataFrame) -> DataFrame | None:
+    """RDFS facts in one plan: properties first, then domains and ranges, then classes, each over closed hierarchies.
+
+    None if a rule could feed an earlier one: where a hierarchy's own predicates, or rdf:type, have axioms themselves.
+    """
+    pairs = lambda p: base.where(F.col("p") == p).select("s", "o")
+    hierarchy = lambda p: closure(pairs(p).where(F.col("s") != F.col("o"))).where(F.col("s") != F.col("o"))
+    sub, props = hierarchy(T.SUBCLASS), hierarchy(T.SUBPROPERTY)
+    own = [T.TYPE, T.SUBCLASS, T.SUBPROPERTY]
+    axioms = base.where(F.col("p").isin(T.DOMAIN, T.RANGE, T.SUBPROPERTY) & F.col("s").isin(*own)).select("s").union(props.where(F.col("o").isin(T.SUBCLASS, T.SUBPROPERTY)).select("s"))
+    if not axioms.isEmpty():
+        return None
+    raised = base.join(props.select(F.col("s").alias("p"), F.col("o").alias("q")), "p").select("s", F.col("q").alias("p"), "o")
+    uses = base.unionByName(raised)
+    typed = lambda df: df.select("s", F.lit(T.TYPE).alias("p"), "o")
+    of = lambda p: pairs(p).select(F.col("s").alias("p"), F.col("o").alias("c"))
+    domains = uses.join(of(T.DOMAIN), "p").select("s", F.col("c").alias("o"))
+    ranges = uses.where(T.is_iri(F.col("o"))).join(of(T.RANGE), "p").select(F.col("o").alias("s"), F.col("c").alias("o"))
+    given = typed(domains.unionByName(ranges).distinct())
+    kinds = uses.where(F.col("p") == T.TYPE).unionByName(given)
+    under = typed(kinds.select("s", F.col("o").alias("k")).join(sub.select(F.col("s").alias("k"), "o"), "k"))
+    schema = sub.select("s", F.lit(T.SUBCLASS).alias("p"), "o").unionByName(props.select("s", F.lit(T.SUBPROPERTY).alias("p"), "o"))
+    made = functools.reduce(DataFrame.unionByName, [raised, given, under, schema])
+    return made.distinct().join(base, ["s", "p", "o"], "left_anti")
+
+
 def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_as: bool = False, all_values: bool = False, max_rounds: int = MAX_ROUNDS) -> Inference:
     """All facts of a profile over the default graph."""
     profile = profile if profile in ("rdfs", "owl-rl", "owl-rl-ext") else "rdfs"
+    if profile == "rdfs":
+        inferred = _single_pass(g.triples)
+        if inferred is not None:
+            return Inference(profile, inferred, g.add(inferred), 1)
     base = materialize(g.triples.distinct(), "base")
     rules = _Rules(base, profile, lenient, closed_same_as, all_values)
     key = ["s", "p", "o"]

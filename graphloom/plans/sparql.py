@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.plans.closure import closure, reach
 from graphloom.plans.sparql_expr import Expressions, Num, Val, integer, order_keys
+from graphloom.session import local_frame
 from graphloom.plans.sparql_parser import Expr, Group, Path, Query, Select, SparqlError, Triple, Update, Var, parse_query, parse_update
 
 
@@ -161,7 +162,7 @@ class Compiler:
             start, other = (t.s, t.o) if constant_s else (t.o, t.s)
             if not constant_s:
                 edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
-            seed = self.spark.createDataFrame([(start,)], "n string")
+            seed = local_frame(self.spark, [(start,)], ["n"])
             found = reach(edges, seed)
             if reflexive:
                 found = found.union(seed).distinct()
@@ -173,7 +174,7 @@ class Compiler:
             nodes = self.nodes()
             for x in (t.s, t.o):
                 if not isinstance(x, Var):
-                    nodes = nodes.union(self.spark.createDataFrame([(x,)], "n string"))
+                    nodes = nodes.union(local_frame(self.spark, [(x,)], ["n"]))
             edges = edges.union(nodes.select(F.col("n").alias("s"), F.col("n").alias("o"))).distinct()
         cols, names = [], []
         for place, x in (("s", t.s), ("o", t.o)):
@@ -390,7 +391,7 @@ class Compiler:
 
     def values(self, names: list[Var], rows: list[tuple]) -> Solution:
         cols = [v.name for v in names]
-        df = self.spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{_named(v)}` string" for v in cols))
+        df = local_frame(self.spark, [tuple(r) for r in rows], [_named(v) for v in cols])
         return Solution(df, cols, {v for k, v in enumerate(cols) if all(r[k] is not None for r in rows)})
 
     # select

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import terms as T
 from graphloom.graph import Graph
+from graphloom.session import local_frame
 
 EX = "http://example.org/"
 PREFIXES = {"ex": EX}
@@ -32,9 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def emit(df: DataFrame, subject: Column, pairs: list[tuple[str, Column]]) -> DataFrame:
-    """Triples of every row: (predicate, object column) pairs; null objects give none."""
-    made = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in pairs])
-    return df.select(subject.alias("s"), F.explode(made).alias("t")).select("s", "t.p", "t.o").where(F.col("o").isNotNull())
+    """Triples of every row: (predicate, object column) pairs; null objects give none.
+
+    One narrow branch for each predicate: a pattern with a constant predicate prunes the other branches at planning, and
+    its scan reads the columns of that predicate alone.
+    """
+    parts = [df.select(subject.alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in pairs]
+    return functools.reduce(DataFrame.unionByName, parts).where(F.col("o").isNotNull())
 
 
 def _customer(df):
@@ -96,7 +101,7 @@ def part_classes(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "s string, p string, o string")
+    return local_frame(spark, rows, ["s", "p", "o"])
 
 
 def values(df: DataFrame, **kinds: str) -> DataFrame:

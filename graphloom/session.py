@@ -44,3 +44,11 @@ def bounded_rows(df: DataFrame, limit: int) -> list | None:
     """The rows of df if there are at most limit of them; None otherwise."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """String rows as a relation whose size the optimizer knows, so that small ones are broadcast."""
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table({n: pa.array(c, pa.string()) for n, c in zip(names, columns, strict=True)}))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom import terms as T
 from graphloom.graph import QUADS, Graph
+from graphloom.session import local_frame
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -368,7 +369,7 @@ def _plain(t: str) -> str:
 
 
 def load_text(spark: SparkSession, text: str, fmt: str | None = None, base: str | None = None) -> Graph:
-    return Graph.of(spark.createDataFrame(parse_text(text, fmt, base), QUADS))
+    return Graph.of(local_frame(spark, parse_text(text, fmt, base), ["s", "p", "o", "g"]))
 
 
 def load_files(spark: SparkSession, path: str, fmt: str | None = None, base: str | None = None) -> Graph:
