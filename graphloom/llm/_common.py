@@ -10,10 +10,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from graphloom.session import shared_dir
 
-#: Where intermediates go if the session names no shared folder (tests, one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/graphloom"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -25,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
     """A fresh path in the shared folder, remembered in written() unless it is to be kept."""
     path = f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
@@ -105,3 +95,10 @@ def append_arrow(docs: DataFrame, run, fields: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*arrays, *run(batch)], names=[*names, *new])
 
     return docs.mapInArrow(each, StructType([*kept, *added]))
+
+
+def sampled_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> list:
+    """Rows (id, ..., text) of a bounded table ids (id, ...), by id; of an id's several texts the smallest, so the bound holds."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")
+    rows = texts.groupBy(*ids.columns).agg(F.min("text").alias("text")).collect()
+    return sorted(rows, key=lambda r: tuple(r[c] for c in ids.columns))

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import append_arrow, table
+from graphloom.llm._common import append_arrow, sampled_texts, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -185,13 +185,11 @@ def content_share(text: str, model: tuple[np.ndarray, np.ndarray]) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    ids = None
+    parts = []
     for label in (0, 1):
-        part = labels.where(F.col(label_col) == label).select(F.col(id_col).alias("__lid"), F.lit(label).alias("__label")).where("__lid IS NOT NULL").distinct()
-        part = part.orderBy(F.xxhash64("__lid"), "__lid").limit(per_class)
-        ids = part if ids is None else ids.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("__lid"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__lid").collect()  # 2 * per_class ids
-    return [(r["__text"], r["__label"]) for r in sorted(rows, key=lambda r: (r["__lid"], r["__label"], r["__text"] or ""))]
+        part = labels.where(F.col(label_col) == label).select(F.col(id_col).alias("id"), F.lit(label).alias("label")).where("id IS NOT NULL").distinct()
+        parts.append(part.orderBy(F.xxhash64("id"), "id").limit(per_class))
+    return [(r["text"], r["label"]) for r in sampled_texts(docs, parts[0].unionByName(parts[1]), id_col, text_col)]
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE, min_share: float = CONTENT_SHARE) -> DataFrame:

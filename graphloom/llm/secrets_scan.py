@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import append_arrow, table
+from graphloom.llm._common import append_arrow, sampled_texts, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -127,11 +127,10 @@ def all_spans(text: str, model: np.ndarray, min_ratio: float = MIN_RATIO) -> lis
 
 def ordinary_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_docs: int, n_words: int) -> list[str]:
     """Long ASCII words of a bounded sample of documents labelled good, base spans left out."""
-    ids = labels.where("quality = 1").select(F.col(id_col).alias("__lid")).where("__lid IS NOT NULL").distinct().orderBy(F.xxhash64("__lid"), "__lid").limit(n_docs)
-    rows = docs.select(F.col(id_col).alias("__lid"), F.col(text_col).alias("__text")).join(F.broadcast(ids), "__lid").collect()  # n_docs ids
+    ids = labels.where("quality = 1").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(n_docs)
     words = []
-    for r in sorted(rows, key=lambda r: (r["__lid"], r["__text"] or "")):
-        text = r["__text"] or ""
+    for r in sampled_texts(docs, ids, id_col, text_col):
+        text = r["text"] or ""
         for start, end, _ in sorted(base_spans(text), reverse=True):
             text = text[:start] + " " + text[end:]
         words += [w for w in re.findall(r"[A-Za-z][A-Za-z0-9+/_.=-]{7,}", text) if ratio_free(w)]
