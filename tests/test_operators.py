@@ -258,6 +258,18 @@ def test_vectors(spark):
     assert np.linalg.norm(V.project(np.array([[3.0, 4.0]]))) < 1
 
 
+def test_top_k_in_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(1)
+    v = spark.createDataFrame([(k, draw.normal(size=3).tolist(), draw.uniform(-0.4, 0.4, 3).tolist()) for k in range(40)], "iri int, text_vec array<double>, struct_vec array<double>")
+    q = v.where("iri < 9").selectExpr("iri AS query", "text_vec AS q_text", "struct_vec AS q_struct")
+    for mode in ("cosine", "poincare", "product"):
+        whole = sorted(map(tuple, V.top_k(v, q, 3, mode).collect()))
+        assert len(whole) == 27 and all(r[0] == r[1] for r in whole if r[3] == 1 and mode != "product")
+        with monkeypatch.context() as m:
+            m.setattr(V, "QUERY_BLOCK", 4)
+            assert sorted(map(tuple, V.top_k(v, q, 3, mode).collect())) == whole
+
+
 def test_hierarchy_training():
     edges = [("r", "a"), ("r", "b"), ("a", "a1"), ("a", "a2"), ("b", "b1"), ("b", "b2")]
     out = {k: np.array(v) for k, v in V.train_hierarchy(edges, [], dim=8, epochs=300, rate=0.05).items()}
