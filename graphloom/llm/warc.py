@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm._common import new_path, table
+from graphloom.llm._common import materialize, new_path, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -121,25 +121,31 @@ def head_map(fields: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return list(dict(fields).items())
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = pa.map_(pa.string(), pa.string())
-    text = pa.string()
-    schema = pa.schema([("record_id", text), ("type", text), ("url", text), ("date", text), ("concurrent_to", pa.list_(text)), ("headers", pairs), ("http_headers", pairs), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", text), ("refers_to", text)])
-    for batch in batches:
-        for content in batch.column(0):
-            rows = []
-            for r in parse_archive(content.as_py()):
-                rows.append(r)
-                if len(rows) >= _BATCH:
+def _parse(kinds: list[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = pa.map_(pa.string(), pa.string())
+        text = pa.string()
+        schema = pa.schema([("record_id", text), ("type", text), ("url", text), ("date", text), ("concurrent_to", pa.list_(text)), ("headers", pairs), ("http_headers", pairs), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", text), ("refers_to", text)])
+        for batch in batches:
+            for content in batch.column(0):
+                rows = []
+                for r in parse_archive(content.as_py()):
+                    if kinds is not None and r["type"] not in kinds:
+                        r["payload"] = None
+                    rows.append(r)
+                    if len(rows) >= _BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+                if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
 
+    return run
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record (see RECORDS)."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, RECORDS)
+
+def read_records(spark: SparkSession, path: str, payloads_of: list[str] | None = None) -> DataFrame:
+    """One row per WARC record (see RECORDS). payloads_of: the record types whose payload is wanted (None: all); lengths and
+    digests are of the full payload either way."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse(payloads_of), RECORDS)
 
 
 def assemble(found: DataFrame) -> DataFrame:
@@ -161,8 +167,7 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    found = read_records(spark, path)
-    rows = assemble(found.withColumn("payload", F.when(F.col("type") == "metadata", F.col("payload"))))
+    rows = assemble(materialize(read_records(spark, path, payloads_of=["metadata"]), "records"))
     page = F.regexp_extract(F.get("metadata", F.lit(0))["fields"], "page-id: (-?[0-9]*)", 1)
     return rows.select(
         F.nullif(page, F.lit("")).cast("long").alias("page_id"),
