@@ -24,6 +24,7 @@ from graphloom.operators import checks, lifecycle, mapping, matching
 from graphloom.plans import dl
 from graphloom.plans.reason import reason
 from graphloom.sources import rdf, store, tabular
+from graphloom.state import State
 
 ROWS = 10_000
 #: Tools by group, for filters.
@@ -44,8 +45,9 @@ class Filtered(PermissionError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, repositories: list[str] | None = None, allow: list[str] | None = None, deny: list[str] | None = None):
+    def __init__(self, spark: SparkSession, repositories: list[str] | None = None, allow: list[str] | None = None, deny: list[str] | None = None, state: State | None = None):
         self.spark = spark
+        self.state = state
         self.registry = store.Registry(spark)
         self.repositories = repositories or []
         self.versions = lifecycle.Versions(spark)
@@ -94,7 +96,28 @@ class Engine:
         return self.registry.put(g, self.registry.active or "default")
 
     def record(self, kind: str, operation: str, details: str = "") -> None:
-        self.events.append((self.session_id, len(self.events) + 1, int(time.time()), lifecycle.EVENT_CODES[kind], operation, details))
+        event = (self.session_id, len(self.events) + 1, int(time.time()), lifecycle.EVENT_CODES[kind], operation, details)
+        self.events.append(event)
+        self.keep("lineage_events", dict(zip(("session_id", "seq", "timestamp", "event_type", "operation", "details"), event, strict=True)))
+
+    def keep(self, table: str, row: dict) -> None:
+        """Add a row to the state tables, if there are any."""
+        if self.state is not None:
+            self.state.append(table, [row])
+
+    def restore(self) -> None:
+        """Take up locks, votes, rules and watchers that earlier sessions left in the state tables."""
+        rows = lambda t: [r.asDict() for r in self.state.current(t).collect()]
+        self.locks = {r["iri"]: r["reason"] or "" for r in rows("iri_locks")}
+        self.feedback = [(r["tool"], r["rule_id"], r["entity"], r["accepted"]) for r in rows("tool_feedback")]
+        self.align_votes = [(r["source_iri"], r["target_iri"], r["predicted_relation"], r["accepted"], r["signals_json"]) for r in rows("align_feedback")]
+        self.custom_rules = [checks.CustomRule(r["id"], r["rule_pack"], r["query"], r["severity"], r["message"] or "") for r in rows("enforce_rules") if r["enabled"]]
+        self.watchers[:] = [lifecycle.Watcher(r["id"], r["query"] or "", r["threshold"], r["check_type"], r["severity"], r["action"], r["message"] or "", r["webhook_url"], r["enabled"]) for r in rows("monitor_watchers")]
+        self.monitor_.blocked = any(r["key"] == "blocked" and r["value"] == "true" for r in rows("monitor_state"))
+
+    def add_rule(self, rule: checks.CustomRule) -> None:
+        self.custom_rules.append(rule)
+        self.keep("enforce_rules", {"id": rule.id, "rule_pack": rule.pack, "query": rule.query, "severity": rule.severity, "message": rule.message, "enabled": True})
 
     @staticmethod
     def rows(df: DataFrame, most: int = ROWS) -> list[dict]:
@@ -239,7 +262,10 @@ class Engine:
         return {"ok": True, "mode": mode, "triple_count": g.count()}
 
     def lock(self, iris: list[str], reason: str = "") -> dict:
-        self.locks |= {i if i.startswith("<") else f"<{i}>": reason for i in iris}
+        new = {i if i.startswith("<") else f"<{i}>": reason for i in iris}
+        self.locks |= new
+        for iri, why in new.items():
+            self.keep("iri_locks", {"iri": iri, "reason": why})
         return {"ok": True, "locked": sorted(self.locks)}
 
     def drift(self, version_a: str, version_b: str) -> dict:
@@ -279,8 +305,20 @@ class Engine:
         df = tabular.sql_rows(self.spark, sql, connection)
         return self._ingest(df, self._mapping(df, mapping, inline_mapping, base_iri))
 
-    def import_schema(self, tables: list[mapping.TableSchema] | None = None, views: list[str] | None = None, base_iri: str = mapping.SCHEMA_BASE) -> dict:
-        found = tables or [mapping.introspect(v, self.spark.table(v)) for v in views or []]
+    def import_schema(self, connection: str = "spark", views: list[str] | None = None, tables: list[mapping.TableSchema] | None = None, base_iri: str = mapping.SCHEMA_BASE) -> dict:
+        """An ontology of a database's tables, of views of the session, or of tables described by the caller."""
+        driver = tabular.sql_driver(connection)
+        if tables:
+            found = tables
+        elif driver == "duckdb":
+            import duckdb
+
+            with duckdb.connect(tabular.duckdb_target(connection), read_only=True) as c:
+                found = mapping.introspect_duckdb(c)
+        elif driver == "postgres":
+            found = mapping.introspect_postgres(lambda sql: [r.asDict() for r in tabular.sql_rows(self.spark, sql, connection).collect()])
+        else:
+            found = [mapping.introspect(v, self.spark.table(v)) for v in views or []]
         g = self.put(self.graph.add(self.spark.createDataFrame(mapping.schema_triples(found, base_iri), "s string, p string, o string")))
         return {"ok": True, "tables": len(found), "triple_count": g.count()}
 
@@ -333,18 +371,22 @@ class Engine:
     def monitor(self, watchers: str | None = None) -> dict:
         for w in json.loads(watchers) if watchers else []:
             self.watchers.append(lifecycle.Watcher(**w))
+            self.keep("monitor_watchers", vars(self.watchers[-1]))
         out, after = self.monitor_.run(self.graph)
         if after is not self.graph and out["status"] == "auto_rolled_back":
             self.put(after)
+        self.keep("monitor_state", {"key": "blocked", "value": str(self.monitor_.blocked).lower()})
         self.record("monitor", out["status"])
         return out
 
     def monitor_clear(self) -> dict:
         self.monitor_.clear()
+        self.keep("monitor_state", {"key": "blocked", "value": "false"})
         return {"ok": True}
 
     def _vote(self, tool: str, rule_id: str, entity: str, accepted: bool) -> dict:
         self.feedback.append((tool, rule_id, entity, accepted))
+        self.keep("tool_feedback", {"tool": tool, "rule_id": rule_id, "entity": entity, "accepted": accepted})
         self.record(f"{tool}_feedback", rule_id, entity)
         return {"ok": True}
 
@@ -368,6 +410,7 @@ class Engine:
 
     def align_feedback(self, source_iri: str, target_iri: str, accepted: bool, signals: dict | None = None, predicted_relation: str = "") -> dict:
         self.align_votes.append(matching.feedback_row(source_iri, target_iri, predicted_relation, accepted, signals))
+        self.keep("align_feedback", dict(zip(("source_iri", "target_iri", "predicted_relation", "accepted", "signals_json"), self.align_votes[-1], strict=True)))
         self.record("align_feedback", source_iri, target_iri)
         return {"ok": True}
 

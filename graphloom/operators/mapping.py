@@ -143,6 +143,44 @@ def introspect(name: str, df: DataFrame, primary_key: str | None = None, foreign
     return TableSchema(name, cols, foreign_keys or {})
 
 
+def introspect_duckdb(connection) -> list[TableSchema]:
+    """Tables of an open DuckDB connection, with their primary and foreign keys."""
+    keys: dict[str, set[str]] = {}
+    parents: dict[str, dict[str, str]] = {}
+    for table, kind, names, text in connection.execute("SELECT table_name, constraint_type, constraint_column_names, constraint_text FROM duckdb_constraints()").fetchall():
+        if kind == "PRIMARY KEY":
+            keys.setdefault(table, set()).update(names)
+        elif kind == "FOREIGN KEY":
+            parent = text.upper().partition("REFERENCES")[2].partition("(")[0].strip().lower().strip('"')
+            parents.setdefault(table, {}).update({n: parent for n in names})
+    found: dict[str, list[TableColumn]] = {}
+    for table, name, kind, nullable in connection.execute("SELECT table_name, column_name, data_type, is_nullable FROM information_schema.columns WHERE table_schema = 'main' ORDER BY table_name, ordinal_position").fetchall():
+        found.setdefault(table, []).append(TableColumn(name, kind, nullable in ("YES", True), name in keys.get(table, ())))
+    return [TableSchema(t, cols, parents.get(t, {})) for t, cols in found.items()]
+
+
+#: What a PostgreSQL server is asked for its columns and keys.
+POSTGRES_COLUMNS = "SELECT table_name, column_name, data_type, is_nullable FROM information_schema.columns WHERE table_schema = 'public' ORDER BY table_name, ordinal_position"
+POSTGRES_KEYS = """SELECT tc.constraint_type, kcu.table_name, kcu.column_name, ccu.table_name AS parent FROM information_schema.table_constraints tc
+  JOIN information_schema.key_column_usage kcu ON kcu.constraint_name = tc.constraint_name AND kcu.table_schema = tc.table_schema
+  LEFT JOIN information_schema.constraint_column_usage ccu ON ccu.constraint_name = tc.constraint_name AND ccu.table_schema = tc.table_schema
+  WHERE tc.table_schema = 'public' AND tc.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY')"""
+
+
+def introspect_postgres(run) -> list[TableSchema]:
+    """Tables of a PostgreSQL schema; run(sql) gives rows as dictionaries (sources.tabular.sql_rows, collected: catalogue rows)."""
+    primary, parents = set(), {}
+    for r in run(POSTGRES_KEYS):
+        if r["constraint_type"] == "PRIMARY KEY":
+            primary.add((r["table_name"], r["column_name"]))
+        else:
+            parents.setdefault(r["table_name"], {})[r["column_name"]] = r["parent"]
+    found: dict[str, list[TableColumn]] = {}
+    for r in run(POSTGRES_COLUMNS):
+        found.setdefault(r["table_name"], []).append(TableColumn(r["column_name"], r["data_type"], r["is_nullable"] == "YES", (r["table_name"], r["column_name"]) in primary))
+    return [TableSchema(t, cols, parents.get(t, {})) for t, cols in found.items()]
+
+
 def schema_triples(tables: list[TableSchema], base: str = SCHEMA_BASE) -> list[tuple[str, str, str]]:
     """Tables become classes, columns datatype properties, foreign keys object properties, primary keys functional ones, and
     columns that may not be null a minimum cardinality of 1."""

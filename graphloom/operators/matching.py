@@ -259,6 +259,12 @@ FUZZY_LEAST, FUZZY_MOST = 0.6, 20
 CROSSWALK = "source_code string, source_system string, target_code string, target_system string, relation string, source_label string, target_label string"
 
 
+def load_crosswalk(spark, path: str) -> DataFrame:
+    """A crosswalk table from Parquet, its seven columns as text."""
+    df = spark.read.parquet(path)
+    return df.select(*[F.col(c.split(" ")[0]).cast("string") for c in CROSSWALK.split(", ")])
+
+
 def crosswalk_lookup(crosswalk: DataFrame, code: str, system: str) -> DataFrame:
     return crosswalk.where((F.col("source_code") == code) & (F.col("source_system") == system))
 
