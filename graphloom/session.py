@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/graphloom"
 
 
+#: Settings for clusters: runtime re-planning, skewed joins split, and partitions of a size that fits executors.
+RECOMMENDED = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -232,3 +232,24 @@ def test_deep_chain_on_executors(spark):
     assert sorted(map(tuple, closure(edges, driver_edges=0).collect())) == want
     seeds = spark.createDataFrame([("30",)], "n string")
     assert sorted(r["n"] for r in reach(edges, seeds, driver_edges=1).collect()) == sorted(r["n"] for r in reach(edges, seeds).collect())
+
+
+def test_saved_graph_joins_without_shuffle(spark):
+    rows = [(i(f"x{k}"), i(p), ints(k)) for k in range(50) for p in "pqr"]
+    g = Graph.rows(spark, rows).save_table("graph_for_tests", buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = g.query("SELECT ?x ?a ?b ?c WHERE { ?x e:p ?a ; e:q ?b ; e:r ?c }", P)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "PartitionFilters: [isnotnull(p" in plan
+        assert df.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE graph_for_tests")
+
+
+def test_predicate_reaches_the_scan(spark, tmp_path):
+    Graph.rows(spark, [(i("x"), i("p"), ints(1))]).quads.write.parquet(str(tmp_path / "g"))
+    plan = Graph(spark.read.parquet(str(tmp_path / "g"))).query("SELECT ?x WHERE { ?x e:p ?a }", P)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(p,<http://e/p>)" in plan and "IsNull(g)" in plan
