@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet to the shared folder and
 rereads it as the next stage's docs. All stages but the last return the columns of documents; the last returns the
 drawn mixture: doc_id, source, epoch, n_tokens, offset, mix_block, weight.
+
+Edge cases: a null or blank text fails the quality rules. In the later stages, given such rows as their input, it is kept: it has no
+lines to cut, no near-duplicates, no benchmark words; mixing draws it, with no tokens, if its source has any. Rows that repeat an id
+stand and fall together where they say the same: line dedup treats equal rows as one document, near-dedup keeps or drops all rows of an id,
+mixing draws each. A null id is never a near-duplicate; a null source is a source of its own. Empty tables give empty results, and
+further columns of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
