@@ -36,30 +36,41 @@ def _stage(function):
     return stage
 
 
+def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that have a result's name set aside, and the names to give back."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in results}
+    return docs.withColumnsRenamed(own), {v: k for k, v in own.items()}
+
+
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
-    return quality.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    free, back = _aside(docs, *quality.RESULTS)
+    return quality.judge_quality(free, table(spark, sf_dir, "labels")).where("kept").select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 @_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated three-line windows; documents of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs)
-    return cut.where((F.col("n_removed") == 0) | (F.trim("text") != "")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    free, back = _aside(docs, "n_lines", "n_removed")
+    cut = line_dedup.dedup_lines(free)
+    cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", chars).select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 @_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep one document, that of the smallest id."""
-    gone = near_dedup.link_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti").select(*docs.columns)
+    gone = near_dedup.link_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 @_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    return decontaminate.scan_texts(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    free, back = _aside(docs, *decontaminate.RESULTS)
+    return decontaminate.scan_texts(free, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 @_stage

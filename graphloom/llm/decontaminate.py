@@ -35,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WINDOW_WORDS = 10
 BLOCK_CHARS = 4_000_000
 AUTOMATA_KEPT = 4
+RESULTS = ["n_words", "n_hit", "items", "spans"]
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")

@@ -38,6 +38,7 @@ EPOCHS = 80
 RATE = 0.3
 L2 = 1e-3
 CONTENT, BOILERPLATE = 1, 0
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"]
 FEATURES = ["bias", "symbols", "capitals", "digits", "bars", "exclaims", "short", "stops", "again", "repeats", "stutter", "long_words", "commas"]
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SYMBOLS_B, _DIGITS = SYMBOLS.encode(), b"0123456789"
