@@ -89,7 +89,9 @@ class Graph:
         return UpdateResult(after, a.join(b, cond(a, b), "left_anti").count(), b.join(a, cond(b, a), "left_anti").count())
 
     def add(self, triples: DataFrame) -> Graph:
-        return Graph.of(self.quads.unionByName(Graph.of(triples).quads))
+        if "g" not in triples.columns:
+            triples = triples.withColumn("g", F.lit(None).cast("string"))
+        return Graph.of(self.quads.unionByName(triples.select("s", "p", "o", "g")))
 
     def remove(self, triples: DataFrame) -> Graph:
         gone = Graph.of(triples).quads.select("s", "p", "o").distinct()

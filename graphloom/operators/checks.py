@@ -242,25 +242,32 @@ def validate_shapes(g: Graph, constraints: list[Constraint]) -> DataFrame:
     rows = [(k, c.target, c.path, c.kind, c.value, c.severity, c.message) for k, c in enumerate(constraints)]
     table = F.broadcast(spark.createDataFrame(rows, "k int, cls string, path string, kind string, bound string, severity string, message string"))  # the shapes given
     t = g.triples
-    focus = t.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus_node"), F.col("o").alias("cls")).distinct().join(table, "cls")
-    paths = sorted({c.path for c in constraints})
+    focus = t.where(F.col("p") == T.TYPE).select(F.col("s").alias("focus_node"), F.col("o").alias("cls")).join(table, "cls")
+    paths, kinds = sorted({c.path for c in constraints}), {c.kind for c in constraints}
     values = t.where(F.col("p").isin(*paths)) if paths else t.limit(0)
     values = values.select(F.col("s").alias("focus_node"), F.col("p").alias("path"), F.col("o").alias("value"))
-    joined = focus.join(values, ["focus_node", "path"], "left")
-    counted = joined.where(F.col("kind").isin("min_count", "max_count")).groupBy("k", "focus_node", "path", "kind", "bound", "severity", "message").agg(F.count("value").alias("n"))
-    bound = F.col("bound").try_cast("bigint")
-    short = counted.where(((F.col("kind") == "min_count") & (F.col("n") < bound)) | ((F.col("kind") == "max_count") & (F.col("n") > bound))).withColumn("value", F.col("n").cast("string"))
-    v = F.col("value")
-    wrong = (F.col("kind") == "datatype") & T.is_literal(v) & (F.concat(F.lit("<"), T.datatype_of(v), F.lit(">")) != F.col("bound"))
-    number, limit = T.number(v), F.col("bound").try_cast("double")
-    wrong = wrong | ((F.col("kind") == "pattern") & ~F.regexp_like(T.lex(v), F.col("bound"))) | ((F.col("kind") == "min_inclusive") & (number < limit)) | ((F.col("kind") == "max_inclusive") & (number > limit))
-    each = joined.where(v.isNotNull() & wrong)
     cols = ["focus_node", "path", "kind", "severity", "message", "value"]
-    out = short.select(*cols).unionByName(each.select(*cols))
-    if any(c.kind == "class" for c in constraints):
+    v, bound = F.col("value"), F.col("bound").try_cast("bigint")
+    out = []
+    if kinds & {"min_count", "max_count"}:
+        joined = focus.where(F.col("kind").isin("min_count", "max_count")).join(values, ["focus_node", "path"], "left")
+        counted = joined.groupBy("k", "focus_node", "path", "kind", "bound", "severity", "message").agg(F.count("value").alias("n"))
+        short = counted.where(((F.col("kind") == "min_count") & (F.col("n") < bound)) | ((F.col("kind") == "max_count") & (F.col("n") > bound)))
+        out.append(short.withColumn("value", F.col("n").cast("string")).select(*cols))
+    number, limit = T.number(v), F.col("bound").try_cast("double")
+    wrong = {
+        "datatype": T.is_literal(v) & (F.concat(F.lit("<"), T.datatype_of(v), F.lit(">")) != F.col("bound")),
+        "pattern": ~F.regexp_like(T.lex(v), F.col("bound")),
+        "min_inclusive": number < limit,
+        "max_inclusive": number > limit,
+    }
+    if present := [k for k in wrong if k in kinds]:
+        broken = functools.reduce(Column.__or__, [(F.col("kind") == k) & wrong[k] for k in present])
+        out.append(focus.where(F.col("kind").isin(*present)).join(values, ["focus_node", "path"]).where(broken).select(*cols))
+    if "class" in kinds:
         typed = t.where(F.col("p") == T.TYPE).select(F.col("s").alias("value"), F.col("o").alias("bound"))
-        out = out.unionByName(joined.where((F.col("kind") == "class") & v.isNotNull()).join(typed, ["value", "bound"], "left_anti").select(*cols))
-    return out
+        out.append(focus.where(F.col("kind") == "class").join(values, ["focus_node", "path"]).join(typed, ["value", "bound"], "left_anti").select(*cols))
+    return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], ", ".join(f"{c} string" for c in cols))
 
 
 def report(violations: DataFrame, most: int = 10_000) -> str:

@@ -440,11 +440,22 @@ class Compiler:
                 df = df.withColumn(_named(v.name), F.lit(None).cast("string"))
             keys.append(v.name)
         scope = Solution(df, list(dict.fromkeys([*found.vars, *keys])), found.certain)
-        compiled = Expressions(scope.column)
         columns, views = [], {}
         roots = [*(e for _, e in s.columns or [] if e), *s.having, *(e for e, _ in s.order_by)]
-        for k, x in enumerate(x for e in roots for x in walk(e) if x.op == "agg"):
-            made, view = self._aggregate(f"a{k}", x, compiled, scope)
+        found_aggs = [x for e in roots for x in walk(e) if x.op == "agg"]
+        # what the aggregates read is computed once for each row, below them
+        own: dict[int, Val] = {}
+        inputs, compiled = {}, Expressions(scope.column)
+        for k, x in enumerate(found_aggs):
+            if x.args:
+                v, kind = compiled(x.args[0]), x.extra["name"]
+                read = {"term": v.term} if kind in ("COUNT", "SAMPLE") else {"text": v.text} if kind == "GROUP_CONCAT" else {"term": v.term, "dbl": v.dbl, "dec": v.dec, "rank": v.rank} if kind in ("SUM", "AVG") else {"term": v.term, "dbl": v.dbl, "text": v.text}
+                inputs |= {f"i{k}_{n}": c for n, c in read.items()}
+                own[id(x)] = _Read(k, read)
+        if inputs:
+            scope = Solution(scope.df.withColumns(inputs), scope.vars, scope.certain)
+        for k, x in enumerate(found_aggs):
+            made, view = self._aggregate(f"a{k}", x, own.get(id(x)), scope)
             columns += made
             views[id(x)] = view
         # plain variables that are grouped by nothing are errors, as the standard says
@@ -458,7 +469,7 @@ class Compiler:
         out = grouped.agg(*(columns or [F.count(F.lit(1)).alias("_rows")]))
         return Solution(out, keys, found.certain & set(keys)), views
 
-    def _aggregate(self, name: str, x: Expr, compiled: Expressions, scope: Solution) -> tuple[list[Column], object]:
+    def _aggregate(self, name: str, x: Expr, v: Val | None, scope: Solution) -> tuple[list[Column], object]:
         kind, distinct = x.extra["name"], x.extra["distinct"]
         if kind == "COUNT":
             if not x.args:
@@ -467,10 +478,9 @@ class Compiler:
                 else:
                     made = F.count(F.lit(1))
             else:
-                t = compiled(x.args[0]).term
+                t = v.term
                 made = F.count_distinct(t) if distinct else F.count(t)
             return [made.alias(name)], lambda sol: integer(F.col(name))
-        v = compiled(x.args[0])
         if kind in ("SUM", "AVG"):
             dbl, dec, rank = v.dbl, v.dec, F.max(v.rank)
             total = F.sum_distinct if distinct else F.sum
@@ -498,6 +508,16 @@ class Compiler:
         raise SparqlError(f"unknown aggregate {kind}")
 
 
+class _Read(Val):
+    """A value whose views are columns already."""
+
+    def __init__(self, k: int, names):
+        super().__init__(F.col(f"i{k}_term") if "term" in names else F.lit(None).cast("string"))
+        for n in names:
+            if n != "term":
+                setattr(self, n, F.col(f"i{k}_{n}"))
+
+
 def walk_outside(e: Expr):
     """Variables of e outside aggregates."""
     if e.op == "agg":
