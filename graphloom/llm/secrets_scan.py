@@ -47,7 +47,7 @@ _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _ei
 _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
-_TOKEN = re.compile(rf"(?<![^\x00-\x7f])(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{MIN_LENGTH},}}(?![^\x00-\x7f])")
+_TOKEN = re.compile(rf"(?<![^\x00-\x7f])(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{MIN_LENGTH},}}(?![A-Za-z0-9+/_.=-])(?![^\x00-\x7f])")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _CODES = np.full(128, len(ALPHABET), np.int64)
 _CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))

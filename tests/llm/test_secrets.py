@@ -87,6 +87,7 @@ def test_query_columns_and_edges(spark, prose, docs_schema):
     assert rows[2] == [("random", 4, 4 + len(key))]
     assert rows[3] == [("assign", 0, 40), ("hex", 8, 40)]
     assert rows[5] == [("access", 0, 20)] and rows[7][0][0] == "random"
+    assert S.all_spans(f"{key}é", S.train_models(S.random_strings(500, 1), S.identifiers(500, 2))) == []
     red = {r["doc_id"]: r["text"] for r in S.redact(got, "secrets").collect()}
     assert red[3] == "[SECRET] é" and red[0] is None
     assert S.scan_secrets(docs.limit(0), S.build_model(docs.limit(0), labels)).count() == 0
