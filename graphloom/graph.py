@@ -89,9 +89,17 @@ class Graph:
         return UpdateResult(after, a.join(b, cond(a, b), "left_anti").count(), b.join(a, cond(b, a), "left_anti").count())
 
     def add(self, triples: DataFrame) -> Graph:
-        if "g" not in triples.columns:
-            triples = triples.withColumn("g", F.lit(None).cast("string"))
-        return Graph.of(self.quads.unionByName(triples.select("s", "p", "o", "g")))
+        """The union as a set. Only the new triples are made distinct, against those of them that are there: a small addition is
+        broadcast, and the graph itself is never shuffled for it."""
+        new = Graph.of(triples).quads.alias("n")
+        same = lambda a, b: (F.col(f"{a}.s") == F.col(f"{b}.s")) & (F.col(f"{a}.p") == F.col(f"{b}.p")) & (F.col(f"{a}.o") == F.col(f"{b}.o")) & F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
+        there = self.quads.alias("q").join(new, same("q", "n"), "left_semi").select("q.s", "q.p", "q.o", "q.g")
+        fresh = new.join(there.alias("t"), same("n", "t"), "left_anti").select("n.s", "n.p", "n.o", "n.g")
+        return Graph(self.quads.unionByName(fresh))
+
+    def add_disjoint(self, triples: DataFrame) -> Graph:
+        """The union with distinct default-graph triples that are known not to be there."""
+        return Graph(self.quads.unionByName(triples.select("s", "p", "o", F.lit(None).cast("string").alias("g"))))
 
     def remove(self, triples: DataFrame) -> Graph:
         gone = Graph.of(triples).quads.select("s", "p", "o").distinct()

@@ -175,7 +175,7 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
     if profile == "rdfs":
         inferred = _single_pass(g.triples)
         if inferred is not None:
-            return Inference(profile, inferred, g.add(inferred), 1)
+            return Inference(profile, inferred, g.add_disjoint(inferred), 1)
     base = materialize(g.triples.distinct(), "base")
     rules = _Rules(base, profile, lenient, closed_same_as, all_values)
     key = ["s", "p", "o"]
@@ -196,4 +196,4 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
             break
         every = materialize(every.unionByName(fresh), "every")
     inferred = every.join(base, key, "left_anti")
-    return Inference(profile, inferred, g.add(inferred), rounds)
+    return Inference(profile, inferred, g.add_disjoint(inferred), rounds)
