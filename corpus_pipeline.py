@@ -61,7 +61,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep one document, that of the smallest id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep one document, that of the smallest id."""
     gone = near_dedup.link_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
 

@@ -1,7 +1,7 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-A document is the set of its distinct 2-word shingles (64-bit hashes of words split at ASCII white space, A-Z
-lower-cased). Documents of one set form a class; its smallest id stands for it. Each class has a signature of
+A document is the set of its distinct shingles of ``SHINGLE_WORDS`` words unless told otherwise (64-bit hashes of words split at ASCII
+white space, A-Z lower-cased); a text of fewer words is one shingle. Documents of one set form a class; its smallest id stands for it. Each class has a signature of
 ``POSITIONS`` minima, cut to 16 bits each. The multi-index splits a signature into ``CHUNKS`` chunks and indexes,
 for each chunk, every way to leave one position out (the allowed chunk error). By the pigeonhole principle two
 signatures that differ in at most ``CHUNKS * (1 + 1) - 1`` positions agree in some chunk but for one position,
@@ -21,7 +21,7 @@ So every pair that meets in a bucket and is linked ends in one component.
 Scale: bucket centres are pre-aggregated; joins on buckets and classes are splittable when skewed; texts are
 shuffled once, to pick those of candidates. Intermediates go to the shared folder.
 
-Edge cases: null or blank text: the empty set, linked with nothing. A single word is a set of one. A null id is
+Edge cases: null or blank text: the empty set, linked with nothing. Fewer words than a shingle has: a set of one. A null id is
 linked with nothing and kept. Rows that repeat an id each get a row; rows of one id with different texts are
 linked only by what their texts say, but where that id stands for both classes they count as one document.
 """
@@ -44,6 +44,8 @@ from graphloom.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Words of a shingle: of the operator, and of the contract query.
+SHINGLE_WORDS, QUERY_WORDS = 5, 2
 POSITIONS = 64
 CHUNKS = 12
 #: Links: 100 * intersection >= PERCENT * union.
@@ -71,7 +73,7 @@ OFFSETS = _series(23, POSITIONS)
 _words: dict[bytes, int] = {}
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """The sorted distinct 64-bit shingle hashes of a text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
@@ -82,9 +84,11 @@ def shingles(text: str | None) -> np.ndarray:
         if w not in _words:
             _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(words) == 1:
-        return mix(h + _U(1))
-    return np.unique(mix(h[:-1] * _U(0x9E3779B97F4A7C15) + mix(h[1:] + _U(0x632BE59BD9B4E019))))
+    size = min(size, len(words))
+    out = mix(h[: len(h) - size + 1] + _U(size))
+    for k in range(1, size):
+        out = mix(out * _U(0x9E3779B97F4A7C15) + mix(h[k : len(h) - size + 1 + k] + _U(0x632BE59BD9B4E019)))
+    return np.unique(out)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -105,17 +109,20 @@ def bucket_keys(sigs: np.ndarray) -> np.ndarray:
     return mix(sums - parts + mix(place + _U(77)))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, n, h1, h2, sigs = batch.column(0), [], [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py())
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            n.append(len(s))
-            h1.append(int.from_bytes(digest[:8], "little", signed=True))
-            h2.append(int.from_bytes(digest[8:], "little", signed=True))
-            sigs.append(signature(s).tobytes() if len(s) else b"")
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sig"])
+def _describe(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, h1, h2, sigs = batch.column(0), [], [], [], []
+            for text in batch.column(1):
+                s = shingles(text.as_py(), size)
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                n.append(len(s))
+                h1.append(int.from_bytes(digest[:8], "little", signed=True))
+                h2.append(int.from_bytes(digest[8:], "little", signed=True))
+                sigs.append(signature(s).tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "n_shingles", "h1", "h2", "sig"])
+
+    return run
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,19 +135,22 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys)], names=["id", "key"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, n, token) for every shingle of (id, text)."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 500):
-            part = batch.slice(k, 500)
-            sets = [shingles(x.as_py()) for x in part.column(1)]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            if sizes.sum():
-                ids = np.repeat(part.column(0).to_numpy(), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "token"])
+def _tokens(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, n, token) for every shingle of (id, text)."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                sets = [shingles(x.as_py(), size) for x in part.column(1)]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                if sizes.sum():
+                    ids = np.repeat(part.column(0).to_numpy(), sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "n", "token"])
+
+    return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
@@ -148,8 +158,8 @@ def _confirm(percent: int):
             for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
                 ta = ta.as_py()
                 if last[0] != ta:
-                    last = (ta, shingles(ta))
-                x, y = last[1], shingles(tb.as_py())
+                    last = (ta, shingles(ta, size))
+                x, y = last[1], shingles(tb.as_py(), size)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
@@ -157,20 +167,20 @@ def _confirm(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough."""
     sides = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent, size), "a long, b long")
 
 
-def _mixed_pairs(shared: DataFrame, joined: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _mixed_pairs(shared: DataFrame, joined: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Pairs (a, b) of different components among the members of mixed buckets that may be linked."""
     placed = shared.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).where("parts > 1").select("key", F.col("largest.component").alias("major"))
     members = materialize(placed.join(mixed, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("major")).alias("minor")), "mixed")
 
-    tokens = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_tokens, "id long, n long, token long")
+    tokens = texts.join(members.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_tokens(size), "id long, n long, token long")
     tokens = materialize(tokens, "tokens")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     rarest = Window.partitionBy("id").orderBy("often", "token")
@@ -195,10 +205,10 @@ def _mixed_pairs(shared: DataFrame, joined: DataFrame, texts: DataFrame, percent
     return near
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(own.mapInArrow(_describe, "id long, n_shingles long, h1 long, h2 long, sig binary"), "sets")
+    rows = materialize(own.mapInArrow(_describe(words), "id long, n_shingles long, h1 long, h2 long, sig binary"), "sets")
     member = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = materialize(member.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("sig").alias("sig")), "classes")
 
@@ -210,11 +220,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     often = shared.where("id != centre").groupBy("id", "centre").agg(F.count("*").alias("n"))
     nearest = often.groupBy("id").agg(F.max(F.struct("n", (-F.col("centre")).alias("minus"))).alias("best")).select((-F.col("best.minus")).alias("a"), F.col("id").alias("b"))
-    links = materialize(_linked(nearest, texts, percent), "links")
+    links = materialize(_linked(nearest, texts, percent, words), "links")
     joined = materialize(components(links), "components")
 
-    near = _mixed_pairs(shared, joined, texts, percent)
-    more = materialize(_linked(near, texts, percent), "links")
+    near = _mixed_pairs(shared, joined, texts, percent, words)
+    more = materialize(_linked(near, texts, percent, words), "links")
     if not more.isEmpty():
         before = joined
         joined = materialize(components(links.unionByName(more)), "components")
@@ -231,7 +241,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_documents(table(spark, sf_dir, "documents"))
+    return link_documents(table(spark, sf_dir, "documents"), words=QUERY_WORDS)
 
 
 ORACLE = """

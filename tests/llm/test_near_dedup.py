@@ -6,16 +6,13 @@ from graphloom.llm import near_dedup as N
 from graphloom.llm.components import components
 
 
-def words(t):
-    return N.shingles(t)
-
-
-def brute(docs):
+def brute(docs, size=2):
     ids = [d[0] for d in docs]
     sets = []
     for _, t in docs:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w)} if len(w) == 1 else set(zip(w, w[1:], strict=False)))
+        k = min(size, len(w))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set())
     parent = {i: i for i in ids if i is not None}
 
     def find(x):
@@ -34,9 +31,9 @@ def brute(docs):
     return sorted([(i, len(s), None if i is None else find(i)) for (i, _), s in zip(docs, sets, strict=True)], key=str)
 
 
-def run(spark, docs):
+def run(spark, docs, size=2):
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_shingles int").repartition(3)
-    rows = N.link_documents(df).collect()
+    rows = N.link_documents(df, words=size).collect()
     assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in rows)
     return sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows], key=str)
 
@@ -63,7 +60,8 @@ def test_groups_chains_and_copies(spark, prose):
         chain = edited(chain, draw, 0.05)
         k += 1
     draw.shuffle(docs)
-    assert run(spark, docs) == brute(docs)
+    for size in (N.QUERY_WORDS, N.SHINGLE_WORDS):
+        assert run(spark, docs, size) == brute(docs, size)
 
 
 def test_large_group_of_near_copies_keeps_every_link(spark, prose):
@@ -77,6 +75,7 @@ def test_edges(spark, prose):
     long = " ".join(prose(5, 3000).split() * 10)
     docs = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "ONE"), (6, "two words"), (7, "Two\x0bwords"), (8, "É a"), (9, "é a"), (None, "two words"), (10, long), (11, long + " end")]
     assert run(spark, docs) == brute(docs)
+    assert run(spark, docs, 5) == brute(docs, 5)
     assert run(spark, []) == []
     twice = run(spark, [(1, "a b c"), (1, "a b c"), (0, "a b c")])
     assert twice == [(0, 2, 0), (1, 2, 0), (1, 2, 0)]
