@@ -10,7 +10,7 @@ at ``PACK_CHARS``; the next one emits the shared ancestors anew.
 The template marks a turn as ``[INST]role[/INST]text</s>`` after an opening ``<s>``. Inside roles and texts, a backslash is doubled and
 one is put into control strings, which reverses exactly.
 
-Scale: turns are grouped by conversation; the walk is range-partitioned by path and conversation, so that a very common
+Scale: turns are grouped by conversation, which is one training example and must fit a sequence; the walk is range-partitioned by path and conversation, so that a very common
 first turn, or conversation, spreads over many tasks (each repeats at most one path of ancestors). A task holds one
 sequence at a time.
 
