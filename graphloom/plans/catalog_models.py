@@ -126,16 +126,16 @@ def prf(spark, sf_dir):
 # vectors -----------------------------------------------------------------------------------------
 
 
-def _vectors(spark, sf_dir):
+def _vectors(spark, sf_dir, asked="iri < 3"):
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").alias("iri"), F.col("embedding").cast("array<double>").alias("text_vec")).withColumn("struct_vec", V.into_ball(F.col("text_vec")))
-    q = v.where("iri < 3").select(F.col("iri").alias("query"), F.col("text_vec").alias("q_text"), F.col("struct_vec").alias("q_struct"))
+    q = v.where(asked).select(F.col("iri").alias("query"), F.col("text_vec").alias("q_text"), F.col("struct_vec").alias("q_struct"))
     return v, q
 
 
-def _top(mode):
+def _top(mode, asked="iri < 3"):
     def run(spark, sf_dir):
-        v, q = _vectors(spark, sf_dir)
+        v, q = _vectors(spark, sf_dir, asked)
         return V.top_k(v, q, 10, mode).select("query", "iri", F.round("score", 4).alias("score"), "rank")
 
     return run
@@ -152,6 +152,8 @@ SELECT query, iri, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
 
 for _name, _mode, _score, _way in (("vec_cosine_topk", "cosine", "cos", "DESC"), ("vec_poincare_topk", "poincare", "d", ""), ("vec_product_topk", "product", "0.5::DOUBLE * cos + 0.5::DOUBLE / (1 + d)", "DESC")):
     contract(_name, _VEC.format(score=_score, way=_way))(_top(_mode))
+    # the same search for every hundredth row, so that the work grows with the table
+    contract(f"{_name}_hundredth", _VEC.replace("q.iri < 3", "q.iri % 100 = 0").format(score=_score, way=_way))(_top(_mode, "iri % 100 = 0"))
 
 
 # plans, watchers, lineage, grounding -------------------------------------------------------------
