@@ -2,8 +2,8 @@
 
 Recursive CTEs keep duplicates, so cycles need a loop. Small edge sets (at most ``DRIVER_EDGES`` edges closing to at most
 ``DRIVER_PAIRS`` pairs, as class hierarchies are) are closed in driver memory, which costs no round trips; anything larger runs as
-semi-naive doubling on the executors: round k joins the pairs found last, of path lengths up to 2^k, with all pairs, so
-the number of rounds is logarithmic in the longest path. Each round is written to the shared folder.
+doubling on the executors: round k joins all pairs, of path lengths up to 2^k, with the pairs at exactly 2^k steps, so the number of
+rounds is logarithmic in the longest path and a pair of a chain is made once. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -47,13 +47,15 @@ def closure(edges: DataFrame, driver_edges: int = DRIVER_EDGES, driver_pairs: in
         pairs = close_pairs([(r["s"], r["o"]) for r in rows], driver_pairs)
         if pairs is not None:
             return local_frame(spark, sorted(pairs), ["s", "o"])
-    every = fresh = materialize(edges, "closure")
+    every = jump = materialize(edges, "closure")
     while True:
-        grown = fresh.select("s", F.col("o").alias("m")).join(every.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
+        step = jump.select(F.col("s").alias("m"), "o")
+        grown = every.select("s", F.col("o").alias("m")).join(step, "m").select("s", "o").distinct()
         fresh = materialize(grown.join(every, ["s", "o"], "left_anti"), "closure")
         if fresh.isEmpty():
             return every
         every = materialize(every.unionByName(fresh), "closure")
+        jump = materialize(jump.select("s", F.col("o").alias("m")).join(step, "m").select("s", "o").distinct(), "closure")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
