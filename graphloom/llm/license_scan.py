@@ -1,14 +1,17 @@
 """License scans: base phrases, and an exact containment join of text blocks against license templates.
 
-A block is a line; its set is its distinct words. A template is found in a block that holds at least
-``THRESHOLD`` of the template's distinct words. The join is exact: template words are put in one global order,
+A block is a line, or (``wrapped``, as the query has it) a run of n / ``THRESHOLD`` words of the text for a template of n words, over
+line ends, so that a notice wrapped over lines is found whole; its set is its distinct words. A template is found in a block that holds
+at least ``THRESHOLD`` of the template's distinct words. The join is exact: template words are put in one global order,
 rarest document frequency first (counted over all documents); with need = ceil(threshold * size), one of the
 first size - need + 1 words of a template (its prefix) must be in the block (prefix filter), the block must hold
 at least need template words (length filter), and at the first shared word what is left on both sides must
 still reach need (positional filter). What passes is verified on the full sets. Native expressions only.
 
+Runs are looked at only in texts that hold enough words of a template; each starts at a word of the template, which loses none.
+
 Scale: the order, prefixes and templates are bounded by the template list, never by the corpus. Texts are read
-twice (frequencies, then blocks) and never shuffled; only blocks with a prefix word leave the scan.
+twice (frequencies, then blocks; wrapped, a third time for runs) and never shuffled; only blocks with a prefix word leave the scan.
 
 Edge cases: null text: no words, no labels, score 0. Words are maximal runs of digits, a-z (after A-Z are
 lower-cased) and all non-ASCII characters. Rows that repeat (same id and text) each get the same result.
@@ -65,11 +68,30 @@ def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _runs(read: DataFrame, full: Column, needs: list[int], sizes: list[int], runs: list[int], tokens: Column) -> DataFrame:
+    """(__id, __hash, template, shared, size) of templates found in a run of words, with the most words that one run shares."""
+    ints = lambda values: F.array(*[F.lit(v) for v in values])
+    words = F.split(F.trim(F.regexp_replace("__flat", "[ \n]+", " ")), " ")
+    held = F.filter(ints(range(len(needs))), lambda t: F.size(F.array_intersect("__held", full[t])) >= F.get(ints(needs), t))
+    texts = (
+        read.select("__id", "__hash", "__flat", F.array_intersect(tokens, F.split("__flat", "[ \n]+")).alias("__held"))
+        .where(F.size("__held") >= min(needs))
+        .select("__id", "__hash", "__flat", F.explode(held).alias("template"))
+        .select("__id", "__hash", "template", words.alias("__words"), full[F.col("template")].alias("__set"), F.get(ints(runs), F.col("template")).alias("__run"))
+    )
+    placed = F.filter(F.transform("__words", lambda w, k: F.struct(k.alias("at"), w.alias("word"))), lambda x: F.array_contains("__set", x["word"]))
+    near = lambda x, k: F.filter(F.slice("__hits", k + 1, F.col("__run")), lambda y: y["at"] < x["at"] + F.col("__run"))
+    shared = F.transform("__hits", lambda x, k: F.size(F.array_distinct(F.transform(near(x, k), lambda y: y["word"]))))
+    found = texts.select("__id", "__hash", "template", "__run", placed.alias("__hits")).select("__id", "__hash", "template", F.array_max(shared).alias("shared"))
+    return found.where(F.col("shared") >= F.get(ints(needs), F.col("template"))).groupBy("__id", "__hash", "template").agg(F.max("shared").alias("shared")).withColumn("size", F.get(ints(sizes), F.col("template")))
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """Per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     sets = [(label, set(words.split())) for label, words in templates if words.split()]
+    runs = [math.ceil(round(len(words.split()) / threshold, 9)) for _, words in templates if words.split()]
     vocab = sorted(set().union(*[s for _, s in sets])) if sets else []
 
     flat = F.regexp_replace(lowered(F.col(text_col)), _BREAKS, " ")
@@ -120,7 +142,12 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             .where(F.least(F.col("size") - F.col("first.p"), F.size("block") - F.col("first.q")) >= F.col("need"))
             .withColumn("shared", shared)
             .where(F.col("shared") >= F.col("need"))
-            .groupBy("__id", "__hash")
+            .select("__id", "__hash", "template", "shared", "size")
+        )
+        if wrapped:
+            matched = matched.unionByName(_runs(read, full, needs, [len(x) for _, x in sets], runs, tokens))
+        matched = (
+            matched.groupBy("__id", "__hash")
             .agg(F.collect_set(F.get(labels, F.col("template"))).alias("found"), F.max(F.col("shared") / F.col("size")).alias("best"))
         )
     matched = matched.withColumnsRenamed({"__id": "__mid", "__hash": "__mhash"})
@@ -138,7 +165,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def _oracle() -> str:
