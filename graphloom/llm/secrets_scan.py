@@ -1,7 +1,8 @@
 """Secret scans: base patterns, and random strings told from identifiers by character Markov models.
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained from labelled samples.
-A candidate is a run of ``MIN_LENGTH`` or more token characters that touches no non-ASCII letter and no base span. It is a
+A candidate is a run of ``MIN_LENGTH`` or more token characters that touches no non-ASCII letter and no base span; punctuation and
+digits of any script may touch it, and so may letters of scripts written without spaces (ideographs, kana, Hangul, Thai), which end a token. It is a
 finding ("random") if the log likelihood ratio of the two models is over ``MIN_RATIO`` nats a character.
 
 The samples: random strings are drawn from usual key alphabets by a fixed seed; ordinary ones are identifiers composed from
@@ -47,7 +48,10 @@ _NAMES = "|".join([*map(_either, ("password", "passwd", "secret", "token")), _ei
 _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
-_TOKEN = re.compile(rf"(?<![^\x00-\x7f])(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{MIN_LENGTH},}}(?![A-Za-z0-9+/_.=-])(?![^\x00-\x7f])")
+#: Letters that never continue a token, and marks that belong to the letter before them.
+_APART, _MARKS = "\u0e00-\u0e7f\u1100-\u11ff\u3005-\u3007\u3040-\u30ff\u3130-\u318f\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff", "\u0300-\u036f"
+_CHARS = r"A-Za-z0-9+/_.=-"
+_TOKEN = re.compile(rf"(?:(?<![^\W\d_])|(?<=[{_APART}]))(?<![{_MARKS}{_CHARS}])[{_CHARS}]{{{MIN_LENGTH},}}(?![{_MARKS}{_CHARS}])(?:(?![^\W\d_])|(?=[{_APART}]))")
 _HINTS = ("password", "passwd", "secret", "token", "api")
 _CODES = np.full(128, len(ALPHABET), np.int64)
 _CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
