@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.functions.text import jaccard, jaro_winkler, jaro_winkler_udf, normal_label
 from graphloom.graph import Graph
-from graphloom.session import materialize
+from graphloom.session import bounded_rows, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,22 +214,69 @@ def align_candidates(source: Graph, target: Graph, threshold: float = ALIGN_THRE
     return scored.select(F.col("a").alias("source"), F.col("b").alias("target"), "confidence", relation(F.col("label"), F.col("property"), F.col("parent")).alias("relation"), *names)
 
 
-def one_to_one(candidates: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: Candidates that are settled in driver memory at once.
+DRIVER_CANDIDATES = 100_000
+
+
+def _greedy(rows: list) -> list:
+    """The rows that the greedy choice takes, one by one in its order."""
+    used, taken, out = set(), set(), []
+    for r in sorted(rows, key=lambda r: (-r["confidence"], r["source"], r["target"])):
+        if r["source"] not in used and r["target"] not in taken:
+            used.add(r["source"])
+            taken.add(r["target"])
+            out.append(r)
+    return out
+
+
+def _best_pairs(left: DataFrame) -> DataFrame:
+    """Pairs of left that the greedy choice takes for sure: mutual best ones, and in a tied block, the pairs of equal rank.
+
+    A tied block is a set of sources with the same best targets, which have just these sources as their best ones.
+    """
+    tops = left.withColumns({f"__{x}": F.max("confidence").over(Window.partitionBy(x)) for x in ("source", "target")}).where("confidence = __source AND confidence = __target").select("source", "target", "confidence")
+    # best pairs of both ends; of each end, all pairs at its best confidence must be among them
+    at_best = lambda x: left.groupBy(x, "confidence").agg(F.count("*").alias(f"__n_{x}"))
+    other = {"source": "target", "target": "source"}
+    signed = tops
+    for x in ("source", "target"):
+        o = other[x]
+        sign = tops.groupBy(x, "confidence").agg(F.count("*").alias(f"__k_{x}"), F.bit_xor(F.xxhash64(o)).alias(f"__h_{x}"), F.bit_xor(F.xxhash64(F.lit(7919), o)).alias(f"__g_{x}"))
+        signed = signed.join(sign.join(at_best(x), [x, "confidence"]), [x, "confidence"])
+    whole = signed.where("__k_source = __n_source AND __k_target = __n_target")
+    # complete: the sources of one target set are as many as each of its targets has
+    block = ["confidence", "__k_source", "__h_source", "__g_source"]
+    many = whole.select(*block, "source").distinct().groupBy(*block).agg(F.count("*").alias("__m"))
+    full = whole.join(many, block).where("__m = __k_target")
+    full = full.join(full.groupBy(*block).agg(F.count("*").alias("__e")), block).where("__e = __m * __k_source")
+    rank = lambda x: full.select(*block, x).distinct().withColumn(f"__r_{x}", F.row_number().over(Window.partitionBy(*block).orderBy(x)))
+    tied = full.join(rank("source"), [*block, "source"]).join(rank("target"), [*block, "target"]).where("__r_source = __r_target").select("source", "target")
+    order = [F.col("confidence").desc(), F.col("source"), F.col("target")]
+    best = left.withColumns({f"of_{x}": F.row_number().over(Window.partitionBy(x).orderBy(*order)) for x in ("source", "target")})
+    return best.where("of_source = 1 AND of_target = 1").select("source", "target").unionByName(tied).distinct()
+
+
+def one_to_one(candidates: DataFrame, driver_candidates: int = DRIVER_CANDIDATES) -> DataFrame:
     """The greedy one-to-one choice by confidence, ties by source, then target.
 
-    Rounds of mutual best pairs give the same choice as taking pairs one by one in that order.
+    Rounds of mutual best pairs, and of tied blocks by rank, give the same choice as taking pairs one by one in that order. They go on
+    until no candidates are left, or at most driver_candidates, which are settled in driver memory.
     """
     left = materialize(candidates, "candidates")
     chosen = None
-    order = [F.col("confidence").desc(), F.col("source"), F.col("target")]
-    for _ in range(max_rounds):
-        best = left.withColumns({"of_source": F.row_number().over(Window.partitionBy("source").orderBy(*order)), "of_target": F.row_number().over(Window.partitionBy("target").orderBy(*order))})
-        mutual = materialize(best.where("of_source = 1 AND of_target = 1").drop("of_source", "of_target"), "chosen")
-        if mutual.isEmpty():
-            break
-        chosen = mutual if chosen is None else chosen.unionByName(mutual)
-        left = materialize(left.join(mutual.select("source"), "source", "left_anti").join(mutual.select("target"), "target", "left_anti"), "candidates")
-    return chosen if chosen is not None else left.limit(0)
+    while True:
+        rows = bounded_rows(left.select("source", "target", "confidence"), driver_candidates) if driver_candidates else None
+        if rows is not None:
+            keys = left.sparkSession.createDataFrame([(r["source"], r["target"]) for r in _greedy(rows)], left.select("source", "target").schema)
+        elif left.isEmpty():
+            return chosen if chosen is not None else left
+        else:
+            keys = _best_pairs(left)
+        taken = materialize(left.join(keys, ["source", "target"], "left_semi"), "chosen")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        if rows is not None:
+            return chosen
+        left = materialize(left.join(taken.select("source"), "source", "left_anti").join(taken.select("target"), "target", "left_anti"), "candidates")
 
 
 def align(source: Graph, target: Graph, threshold: float = ALIGN_THRESHOLD, weights: list[float] | None = None, vectors: DataFrame | None = None) -> DataFrame:
