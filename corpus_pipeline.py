@@ -51,9 +51,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated three-line windows; documents of which nothing is left go."""
+    """Cut repeated three-line windows and repeated texts of fewer lines; documents of which nothing is left go."""
     free, back = _aside(docs, "n_lines", "n_removed")
-    cut = line_dedup.dedup_lines(free)
+    cut = line_dedup.dedup_lines(free, short_texts=True)
     cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*free.columns).withColumnsRenamed(back).select(*docs.columns)

@@ -10,7 +10,8 @@ Scale: windows are pre-aggregated (count and first place) before the shuffle; th
 back to the windows, where a frequent window is a skewed join that the runtime may split; positions are gathered
 per document only. No Python anywhere.
 
-Edge cases: a null text stays null with zero lines; texts of fewer than three lines are left as they are; rows
+Edge cases: a null text stays null with zero lines; a text of one or two lines is left as it is or, with ``short_texts``, is one window
+of its own, so that its exact copies are cut (the query, whose SQL has three-line windows only, leaves them; ``line_dedup_short_texts`` and the pipeline cut them); rows
 that repeat (same id, same text) count as one document and get the same result; a null doc_id is an id of its
 own, before all others; a document whose lines are all removed gets an empty text. Other columns pass through; columns with a result's name
 give way to it.
@@ -27,25 +28,25 @@ WINDOW_LINES = 3
 _SEED = 7919
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _windows(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     n = WINDOW_LINES
     lines = F.split(F.col("__text"), "\n")
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
     window = F.slice(F.col("__lines"), F.col("__at") + 1, n)
     return (
         texts.select("__id", F.xxhash64("__text").alias("__hash"), lines.alias("__lines"))
-        .where(F.size("__lines") >= n)
-        .select("__id", "__hash", "__lines", F.explode(F.sequence(F.lit(0), F.size("__lines") - n)).alias("__at"))
+        .where(F.size("__lines") >= least)
+        .select("__id", "__hash", "__lines", F.explode(F.sequence(F.lit(0), F.greatest(F.size("__lines") - n, F.lit(0)))).alias("__at"))
         .where(F.array_join(window, "").rlike(r"[^ \t\n\x0B\f\r]"))
         .select("__id", "__hash", "__at", F.xxhash64(window).alias("__h1"), F.xxhash64(F.lit(_SEED), window).alias("__h2"))
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later copies of three-line windows cut from text_col, plus n_lines and n_removed (of them)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_texts: bool = False) -> DataFrame:
+    """docs with later copies of three-line windows (and, with short_texts, of whole texts of fewer lines) cut from text_col, plus n_lines and n_removed (of them)."""
     n = WINDOW_LINES
     docs = docs.select(*[c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")])
-    windows = _windows(docs, id_col, text_col)
+    windows = _windows(docs, id_col, text_col, 1 if short_texts else n)
     place = F.struct("__id", "__hash", "__at")
     repeated = windows.groupBy("__h1", "__h2").agg(F.min(place).alias("__first"), F.max(place).alias("__last")).where(~F.col("__first").eqNullSafe(F.col("__last")))
     later = windows.join(repeated.drop("__last"), ["__h1", "__h2"]).where(~place.eqNullSafe(F.col("__first")))
@@ -55,7 +56,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = keyed.join(cuts, keyed[id_col].eqNullSafe(cuts["__id"]) & (keyed["__key"] == cuts["__hash"]), "left")
     size = F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0))
     starts = F.filter("__cuts", lambda x, k: (k == 0) | (F.get(F.col("__cuts"), k - 1) < x - n))
-    ends = F.transform(F.filter("__cuts", lambda x, k: (k == F.size("__cuts") - 1) | (F.get(F.col("__cuts"), k + 1) > x + n)), lambda x: x + n)
+    ends = F.transform(F.filter("__cuts", lambda x, k: (k == F.size("__cuts") - 1) | (F.get(F.col("__cuts"), k + 1) > x + n)), lambda x: F.least(x + n, size))
     at = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(F.col("__ends"), k - 1))
     upto = lambda k: F.when(k == F.size("__starts"), F.size("__lines")).otherwise(F.get(F.col("__starts"), k))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__starts")), lambda k: F.slice(F.col("__lines"), at(k) + 1, upto(k) - at(k))))
@@ -70,9 +71,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str, short_texts: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return dedup_lines(docs, short_texts=short_texts).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = """
@@ -92,3 +93,17 @@ SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines, (coalesce(len(d.l
        CASE WHEN d.text IS NULL THEN NULL ELSE length(coalesce(k.text, '')) END::BIGINT AS kept_chars, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
+
+
+def query_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query(spark, sf_dir, short_texts=True)
+
+
+#: The same with the texts of one or two lines as windows of their own.
+ORACLE_SHORT = ORACLE.replace(
+    "cuts AS (",
+    """brief AS (
+  SELECT doc_id, len(lines) AS n, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k
+  FROM docs WHERE len(lines) < 3 AND regexp_matches(text, '[^ \\t\\n\\x0B\\f\\r]')),
+cuts AS (SELECT doc_id, unnest(range(n)) AS pos FROM brief WHERE k > 1 UNION """,
+)

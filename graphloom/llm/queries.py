@@ -11,6 +11,7 @@ QUERIES = {
     "op4_near_dedup": near_dedup.query,
     "op5_source_mixing": mixing.query,
     "op6_line_dedup": line_dedup.query,
+    "line_dedup_short_texts": line_dedup.query_short,
     "op7_secret_scan": secrets_scan.query,
     "op8_chat_formatting": chat_tree.query,
     "op9_license_scan": license_scan.query,
@@ -22,6 +23,7 @@ ORACLES = {
     "op2_warc_assembly": warc.ORACLE,
     "op4_near_dedup": near_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "line_dedup_short_texts": line_dedup.ORACLE_SHORT,
     "op8_chat_formatting": chat_tree.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
