@@ -4,18 +4,23 @@ A conversation is a path of turns; conversations that begin alike share nodes. I
 conversations form a depth-first walk of the tree, so a sorted sweep needs only the previous path: turns that both share are
 there already, the rest are new nodes. Nodes are packed into sequences: each node carries its segment (text and
 tokens), its offset in the sequence, the position of its first token on its own path, and the intervals of the sequence
-that its tokens may attend to besides their own earlier ones, namely those of its ancestors. A sequence is closed
-at ``PACK_CHARS``; the next one emits the shared ancestors anew.
+that its tokens may attend to besides their own earlier ones, namely those of its ancestors (touching ones merged). A sequence is
+closed at ``PACK_CHARS``; the next one emits the shared ancestors anew.
 
 The template marks a turn as ``[INST]role[/INST]text</s>`` after an opening ``<s>``. Inside roles and texts, a backslash is doubled and
-one is put into control strings, which reverses exactly.
+one is put into control strings, which reverses exactly. A turn's marks and its text are encoded apart, so the loss mask holds the
+tokens of assistant texts and nothing else. Reading back uses the training example alone: a leaf's tokens are those of its
+attention intervals and its own, their position ids must count from zero, and their bytes give the text and, under the mask, the loss text.
 
-Scale: turns are grouped by conversation, which is one training example and must fit a sequence; the walk is range-partitioned by path and conversation, so that a very common
-first turn, or conversation, spreads over many tasks (each repeats at most one path of ancestors). A task holds one
-sequence at a time.
+Scale: a conversation is cut into chapters of ``CHAPTER_CHARS`` (the turn that passes the limit is whole), each a path of its own, so
+no row holds more than a chapter and a turn; running totals over a conversation's turns are a sorted window, which spills. The walk is
+range-partitioned by path and conversation, so that a very common first turn, or conversation, spreads over many tasks (each repeats at
+most one path of ancestors). A task holds one sequence at a time. Digests of a conversation of several chapters are updated chapter by
+chapter in one task, as a digest must be. The vocabulary (at most ``VOCABULARY_BYTES``) is read on the driver and broadcast.
 
 Edge cases: null text or role: empty; turns of equal number are ordered by role and text; a null conversation id or turn is
-its own value, first; a conversation that repeats is a leaf of the same node.
+its own value, first; a conversation that repeats is a leaf of the same node; a very long text is a sequence of its own; further
+columns, whatever their names, are not read; an empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -25,9 +30,10 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._common import parallelism, table
@@ -36,12 +42,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 PACK_CHARS = 200_000
+CHAPTER_CHARS = 200_000
+#: The default vocabulary, a path of the driver or of any store Spark reads, and the bound of such a file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY_BYTES = 64_000_000
 _CONTROL = re.compile(r"(<(?=/?s>)|\[(?=/?INST\]))")
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
+_PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-SEQUENCES = "text string, tokens array<int>, position_ids array<int>, loss_mask array<boolean>, nodes array<struct<start: int, end: int, char_start: int, char_end: int, parent: int, position: int, attends: array<struct<start: int, end: int>>>>, leaves array<struct<conv_id: long, node: int>>"
-_encoders: dict = {}
+SEQUENCES = "text string, tokens array<int>, position_ids array<int>, loss_mask array<boolean>, nodes array<struct<start: int, end: int, char_start: int, char_end: int, parent: int, position: int, attends: array<struct<start: int, end: int>>>>, leaves array<struct<conv_id: long, chapter: int, last: int, node: int>>"
+LEAVES = "conv_id long, chapter int, last int, formatted string, turns array<struct<role: string, text: string>>, loss string"
 
 
 def escape(text: str) -> str:
@@ -61,112 +71,195 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted.removeprefix(BEGIN))]
 
 
-def _encoder(path: str | None):
+class _Bytes:
+    """UTF-8 bytes as tokens."""
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return list(text.encode("utf-8", "surrogatepass"))
+
+    def decode_bytes(self, tokens: list[int]) -> bytes:
+        return bytes(tokens)
+
+
+def vocabulary(spark: SparkSession, path: str | None):
+    """A broadcast rank file, or None for bytes. A path without a scheme is the driver's."""
     if path is None:
-        return lambda text: list(text.encode("utf-8", "surrogatepass"))
-    if path not in _encoders:
+        return None
+    if "://" in path:
+        row = spark.read.format("binaryFile").load(path).where(F.col("length") <= VOCABULARY_BYTES).select("content").first()
+        content = None if row is None else bytes(row["content"])
+    else:
+        with open(path, "rb") as f:
+            content = f.read(VOCABULARY_BYTES + 1)
+    if content is None or len(content) > VOCABULARY_BYTES:
+        raise ValueError(f"no vocabulary of at most {VOCABULARY_BYTES} bytes at {path}")
+    return spark.sparkContext.broadcast({"ranks": content})
+
+
+def _encoder(shared):
+    """The encoder; a worker builds it once, beside the broadcast content."""
+    if shared is None:
+        return _Bytes()
+    if "encoder" not in shared.value:
         import base64
 
         import tiktoken
 
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _encoders[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value["ranks"].splitlines() if line)}
+        shared.value["encoder"] = tiktoken.Encoding("chat", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+    return shared.value["encoder"]
 
 
 class _Pack:
     """One sequence under construction."""
 
-    def __init__(self, encode):
-        self.encode, self.path, self.at = encode, [], []
+    def __init__(self, encoder):
+        self.encode, self.path, self.at = encoder.encode_ordinary, [], []
         self.text, self.tokens, self.positions, self.mask, self.nodes, self.leaves, self.chars = [], [], [], [], [], [], 0
 
-    def node(self, turn: tuple[str, str], key: str) -> None:
-        parent = self.at[-1] if self.at else -1
-        begin = BEGIN if parent < 0 else ""
-        above = [self.nodes[k] for k in self.at]
-        first = above[-1]["position"] + above[-1]["end"] - above[-1]["start"] if above else 0
-        head, body = f"{begin}{OPEN}{escape(turn[0])}{CLOSE}", f"{escape(turn[1])}{END}"
-        start, learn = len(self.tokens), turn[0] == "assistant"
-        for part, loss in ((head, False), (body, learn)):
+    def node(self, turn: tuple[str, str], key: str, begin: str) -> None:
+        up = self.nodes[self.at[-1]] if self.at else None
+        first = 0 if up is None else up["position"] + up["end"] - up["start"]
+        start, size = len(self.tokens), 0
+        parts = ((f"{begin}{OPEN}{escape(turn[0])}{CLOSE}", False), (escape(turn[1]), turn[0] == "assistant"), (END, False))
+        for part, learn in parts:
             ids = self.encode(part)
             self.tokens += ids
-            self.mask += [loss] * len(ids)
+            self.mask += [learn] * len(ids)
+            self.text.append(part)
+            size += len(part)
         self.positions += range(first, first + len(self.tokens) - start)
-        self.nodes.append({"start": start, "end": len(self.tokens), "char_start": self.chars, "char_end": self.chars + len(head) + len(body), "parent": parent, "position": first, "attends": [{"start": n["start"], "end": n["end"]} for n in above]})
-        self.text += [head, body]
-        self.chars += len(head) + len(body)
+        self.nodes.append({"start": start, "end": len(self.tokens), "char_start": self.chars, "char_end": self.chars + size, "parent": self.at[-1] if self.at else -1, "position": first, "attends": [] if up is None else joined(up["attends"], up)})
+        self.chars += size
         self.path.append(key)
         self.at.append(len(self.nodes) - 1)
 
-    def add(self, conv_id: int | None, turns: list[tuple[str, str]], keys: list[str]) -> None:
+    def add(self, conv_id: int | None, chapter: int, last: int, turns: list[tuple[str, str]], keys: list[str]) -> None:
         shared = 0
         while shared < min(len(keys), len(self.path)) and keys[shared] == self.path[shared]:
             shared += 1
         del self.path[shared:], self.at[shared:]
-        for turn, key in zip(turns[shared:], keys[shared:], strict=True):
-            self.node(turn, key)
-        self.leaves.append({"conv_id": conv_id, "node": self.at[-1]})
+        for k in range(shared, len(keys)):
+            self.node(turns[k], keys[k], BEGIN if k == 0 and chapter == 0 else "")
+        self.leaves.append({"conv_id": conv_id, "chapter": chapter, "last": last, "node": self.at[-1]})
 
     def row(self) -> dict:
         return {"text": "".join(self.text), "tokens": self.tokens, "position_ids": self.positions, "loss_mask": self.mask, "nodes": self.nodes, "leaves": self.leaves}
 
 
+def joined(spans: list[dict], span: dict) -> list[dict]:
+    """spans and one more behind them, merged where they touch."""
+    if spans and spans[-1]["end"] == span["start"]:
+        return [*spans[:-1], {"start": spans[-1]["start"], "end": span["end"]}]
+    return [*spans, {"start": span["start"], "end": span["end"]}]
+
+
 def _schema() -> pa.Schema:
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     node = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(span))])
-    leaf = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
+    leaf = pa.struct([("conv_id", pa.int64()), ("chapter", pa.int32()), ("last", pa.int32()), ("node", pa.int32())])
     return pa.schema([("text", pa.string()), ("tokens", pa.list_(pa.int32())), ("position_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("nodes", pa.list_(node)), ("leaves", pa.list_(leaf))])
 
 
-def _sweep(tokenizer: str | None, pack_chars: int):
+def _sweep(shared, pack_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, schema, pack = _encoder(tokenizer), _schema(), None
+        encoder, schema, pack = _encoder(shared), _schema(), None
         for batch in batches:
-            for conv_id, keys, turns in zip(*(batch.column(k) for k in range(3)), strict=True):
+            for conv_id, chapter, last, keys, turns in zip(*(batch.column(k) for k in range(5)), strict=True):
                 if pack is None or pack.chars > pack_chars:
                     if pack is not None:
                         yield pa.RecordBatch.from_pylist([pack.row()], schema)
-                    pack = _Pack(encode)
-                pack.add(conv_id.as_py(), [(t["role"], t["text"]) for t in turns.as_py()], keys.as_py())
+                    pack = _Pack(encoder)
+                pack.add(conv_id.as_py(), chapter.as_py(), last.as_py(), [(t["role"], t["text"]) for t in turns.as_py()], keys.as_py())
         if pack is not None:
             yield pa.RecordBatch.from_pylist([pack.row()], schema)
 
     return run
 
 
-def format_conversations(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_chars: int = PACK_CHARS) -> DataFrame:
+def format_conversations(turns: DataFrame, tokenizer: str | None = TOKENIZER, pack_chars: int = PACK_CHARS, chapter_chars: int = CHAPTER_CHARS) -> DataFrame:
     """Sequences (see SEQUENCES) over conversations (conv_id, turn, role, text). tokenizer: a tiktoken rank file; None: UTF-8 bytes."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    own = F.transform("turns", lambda t: F.sha2(F.concat(F.hex(t["role"]), F.lit("\n"), t["text"]), 256).substr(1, 32))
-    chain = F.aggregate("own", F.array().cast("array<string>"), lambda a, x: F.concat(a, F.array(x)))
-    paths = convs.withColumn("own", own).select("conv_id", chain.alias("path"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    parts = parallelism(turns.sparkSession)
-    walk = paths.withColumn("key", F.array_join("path", "")).repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
-    return walk.select("conv_id", "path", "turns").mapInArrow(_sweep(tokenizer, pack_chars), SEQUENCES)
-
-
-def read_back(sequences: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns) of every leaf of the sequences: its path's segments, and what they parse to."""
+    spark = turns.sparkSession
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.length("role") + F.length("text") + len(OPEN + CLOSE + END)
+    before = F.sum(size.cast("long")).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1))
+    placed = own.withColumn("chapter", F.floor(F.coalesce(before, F.lit(0)) / chapter_chars).cast("int")).withColumn("last", F.max("chapter").over(Window.partitionBy("conv_id")))
+    chapters = placed.groupBy("conv_id", "chapter", "last").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    known = lambda t, k: F.sha2(F.concat(F.when((k == 0) & (F.col("chapter") > 0), "+").otherwise(""), F.hex(t["role"]), F.lit("\n"), t["text"]), 256).substr(1, 32)
+    paths = chapters.select("conv_id", "chapter", "last", F.transform("turns", known).alias("path"), F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    order = [F.array_join("path", ""), F.col("conv_id"), F.col("chapter")]
+    walk = paths.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order)
+    return walk.select("conv_id", "chapter", "last", "path", "turns").mapInArrow(_sweep(vocabulary(spark, tokenizer), pack_chars), SEQUENCES)
+
+
+def read_leaf(encoder, tokens: np.ndarray, positions: np.ndarray, mask: np.ndarray, node: dict) -> tuple[str, str]:
+    """The formatted text and the loss text of one leaf, from its tokens, position ids, attention intervals and loss mask."""
+    at = np.concatenate([np.arange(a["start"], a["end"]) for a in (*node["attends"], node)])
+    if not np.array_equal(positions[at], np.arange(len(at))):
+        raise ValueError("the position ids of a path do not count its tokens")
+    own, learn = tokens[at], mask[at]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], learn, [False])).astype(np.int8)))
+    text = lambda ids: encoder.decode_bytes(ids.tolist()).decode("utf-8", "surrogatepass")
+    return text(own), "".join(unescape(text(own[a:b])) for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def read_back(sequences: DataFrame, tokenizer: str | None = TOKENIZER) -> DataFrame:
+    """(conv_id, chapter, last, formatted, turns, loss) of every leaf of the sequences, decoded from the tokens it may attend to."""
+    shared = vocabulary(sequences.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])), pa.string()]
         for batch in batches:
-            for text, nodes, leaves in zip(*(batch.column(k) for k in range(3)), strict=True):
-                text, nodes, ids, forms, parsed = text.as_py(), nodes.as_py(), [], [], []
+            for tokens, positions, mask, nodes, leaves in zip(*(batch.column(k) for k in range(5)), strict=True):
+                held = [x.values.to_numpy(zero_copy_only=False) for x in (tokens, positions, mask)]
+                nodes, rows = nodes.as_py(), []
                 for leaf in leaves.as_py():
-                    at, parts = leaf["node"], []
-                    while at >= 0:
-                        parts.append(text[nodes[at]["char_start"] : nodes[at]["char_end"]])
-                        at = nodes[at]["parent"]
-                    ids.append(leaf["conv_id"])
-                    forms.append("".join(reversed(parts)))
-                    parsed.append([{"role": r, "text": t} for r, t in parse_turns(forms[-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string()), pa.array(parsed, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))], names=["conv_id", "formatted", "turns"])
+                    formatted, loss = read_leaf(encoder, *held, nodes[leaf["node"]])
+                    rows.append((leaf["conv_id"], leaf["chapter"], leaf["last"], formatted, [{"role": r, "text": t} for r, t in parse_turns(formatted)], loss))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["conv_id", "chapter", "last", "formatted", "turns", "loss"])
+
+    return sequences.select("tokens", "position_ids", "loss_mask", "nodes", "leaves").mapInArrow(run, LEAVES)
+
+
+def conversation_digests(leaves: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of whole conversations.
 
-    return sequences.select("text", "nodes", "leaves").mapInArrow(run, "conv_id long, formatted string, turns array<struct<role: string, text: string>>")
+    Conversations of one chapter are digested where they are; of the others, texts go to the task of their id, chapter by chapter.
+    """
+    fields = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = F.col("last") == 0
+    read = leaves.select(
+        "conv_id", "chapter", F.size("turns").cast("long").alias("n_turns"), F.length("loss").cast("long").alias("loss_chars"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.when(whole, F.sha2(told, 256)).alias("turns_sha256"), F.when(whole, F.sha2("loss", 256)).alias("loss_sha256"), F.when(~whole, told).alias("told"), F.when(~whole, F.col("loss")).alias("learned"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=fields)
+        end = lambda o: (o[0], o[1], o[2].hexdigest(), o[3], o[4].hexdigest(), o[5])
+        open_ = None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["told"] is None:
+                    rows.append(tuple(r[f] for f in fields))
+                    continue
+                if open_ is not None and open_[0] != r["conv_id"]:
+                    rows.append(end(open_))
+                    open_ = None
+                if open_ is None:
+                    open_ = [r["conv_id"], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                open_[2].update(r["told"].encode("utf-8", "surrogatepass"))
+                open_[4].update(r["learned"].encode("utf-8", "surrogatepass"))
+                for k, f in ((1, "n_turns"), (3, "loss_chars"), (5, "formatted_chars")):
+                    open_[k] += r[f]
+            yield pack(rows)
+        if open_ is not None:
+            yield pack([end(open_)])
+
+    return read.repartition("conv_id").sortWithinPartitions("conv_id", "chapter").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation of control strings that goes through with the others.
@@ -177,17 +270,7 @@ PROBE_ID = -7
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE), (PROBE_ID, 1, "assistant", PROBE)], turns.schema)
-    back = read_back(format_conversations(turns.unionByName(probe)))
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return back.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(told, 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    return conversation_digests(read_back(format_conversations(turns.unionByName(probe))))
 
 
 _ESC = r"regexp_replace(replace({}, '\', '\\'), '(<|\[)(/?s>|/?INST\])', '\1\\\2', 'g')"
