@@ -13,10 +13,9 @@ def words_of(text):
 
 def plain(text):
     w, found, best = words_of(text), set(), 0.0
-    lines = [set(words_of(line)) for line in text.split("\n")]
     for label, t in L.TEMPLATES:
         s, n = set(t.split()), math.ceil(round(len(t.split()) / L.THRESHOLD, 9))
-        most = max(len(b & s) for b in lines + [set(w[k : k + n]) for k in range(len(w))])
+        most = max((len(set(w[k : k + n]) & s) for k in range(len(w))), default=0)
         if most * 10 >= 8 * len(s):
             found.add(label)
             best = max(best, most / len(s))
@@ -25,7 +24,7 @@ def plain(text):
 
 def scan(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r["doc_id"]: r for r in L.scan_licenses(df, wrapped=True).collect()}
+    return {r["doc_id"]: r for r in L.scan_licenses(df).collect()}
 
 
 def test_published_notices(spark):
