@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import decontaminate as D
 
 
@@ -27,13 +29,17 @@ def test_against_brute_force(spark):
     draw = random.Random(11)
     vocab = ["a", "b", "c", "é", "D"]
     items = [(k, " ".join(draw.choices(vocab, k=draw.choice([0, 1, 2, 9, 10, 11, 14])))) for k in range(40)] + [(99, None), (None, "a b"), (7, "b b b b b b b b b b b")]
-    texts = [draw.choice([" ", ", ", "--"]).join(draw.choices(vocab, k=draw.randint(0, 60))) for _ in range(150)] + [None, "", "?!", " ".join(["a"] * 5000)]
+    texts = [draw.choice([" ", ", ", "--"]).join(draw.choices(vocab, k=draw.randint(0, 60))) for _ in range(150)] + [None, "", "?!", " ".join(["a"] * 5000), "zz " * 300_000 + "a b c D"]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_hit string")
-    for block in (D.BLOCK_CHARS, 200):
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n_hit string").withColumns({c: F.lit("own") for c in ("items", "runs", "spans", "window", "__text")})
+    before = None
+    for block in (D.BLOCK_CHARS, 3000):  # one automaton, and several passes
         got = {r["doc_id"]: r for r in D.scan_texts(docs, bench, window_words=4, block_chars=block).collect()}
         for k, t in enumerate(texts):
             assert (got[k]["n_words"], got[k]["n_hit"], list(got[k]["items"])) == brute(t, items, 4), (block, t)
+        spans = [[(s["start"], s["end"]) for s in got[k]["spans"]] for k in range(len(texts))]
+        before = before or spans
+        assert spans == before and any(spans)
 
 
 def test_offsets_and_edges(spark):
