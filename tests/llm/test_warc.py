@@ -1,14 +1,18 @@
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import warc as W
 from graphloom.llm._common import new_path
 
 
-def rebuilt(spark, rows):
+def rebuilt(spark, rows, file_bytes=W.FILE_BYTES):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
-    path = W.write_archives(pages, new_path(spark, "warc-test"))
-    return W.assemble(W.read_records(spark, path))
+    pages = pages.withColumns({c: F.lit("own") for c in ("size", "first", "uid", "capture", "value", "record_id")})  # clashing names
+    path = W.write_archives(pages, new_path(spark, "warc-test"), file_bytes)
+    narrow = W.read_records(spark, path, payloads_of=["request", "metadata"])
+    return W.assemble(narrow, W.read_records(spark, path, kinds=["response", "revisit"]))
 
 
 def test_round_trip_with_revisits(spark):
@@ -18,7 +22,8 @@ def test_round_trip_with_revisits(spark):
     got = {}
     for r in rebuilt(spark, rows).collect():
         c = r["capture"]
-        page = r["metadata"][0]["fields"].split("page-id: ")[1].strip()
+        page = bytes(r["metadata"][0]["payload"]).decode().split("page-id: ")[1].strip()
+        assert r["requests"][0]["type"] == "request" and r["requests"][0]["concurrent_to"] == [r["capture_id"]]
         assert len(r["requests"]) == 1 and len(r["metadata"]) == 1
         got[int(page) if page else None] = (c["type"], c["payload_bytes"], c["payload_digest"], c["refers_to"], bytes(c["payload"]))
     texts = {i: (t or "").encode() for i, _, t in rows}
@@ -36,12 +41,25 @@ def test_repeated_rows_and_empty(spark):
     assert rebuilt(spark, []).count() == 0
 
 
-def test_foreign_records_link_either_way(spark):
+def test_foreign_records_link_either_way(spark, tmp_path):
     head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <{}>\r\n{}Content-Type: application/http\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
     http = "HTTP/1.1 200 OK\r\n\r\nhello"
     data = head.format("response", "r1", "WARC-Concurrent-To: <q1>\r\n", len(http), http) + head.format("request", "q1", "", 14, "GET / HTTP/1.1") + head.format("request", "lost", "", 14, "GET / HTTP/1.1")
-    members = gzip.compress(data[:100].encode()) + gzip.compress(data[100:].encode())
-    assert [r["record_id"] for r in W.parse_archive(members)] == ["<r1>", "<q1>", "<lost>"]
-    rows = spark.createDataFrame([tuple(r.values()) for r in ({**r, "headers": dict(r["headers"]), "http_headers": dict(r["http_headers"])} for r in W.parse_archive(members))], W.RECORDS)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(gzip.compress(data[:100].encode()) + gzip.compress(data[100:].encode()))
+    (folder / "b.warc.gz").write_bytes(b"".join(gzip.compress(x.encode()) for x in (data.replace("r1", "r2").replace("q1", "q2"))))
+    (tmp_path / "plain.warc").write_text(data, newline="")
+    names = lambda df: sorted(r["record_id"] for r in df.collect())
+    rows = W.read_records(spark, f"file://{folder}")
+    assert names(rows) == ["<lost>", "<lost>", "<q1>", "<q2>", "<r1>", "<r2>"]
+    assert names(W.read_records(spark, f"file://{tmp_path}/plain.warc", compressed=False)) == ["<lost>", "<q1>", "<r1>"]
     out = {r["capture_id"]: r for r in W.assemble(rows).collect()}
-    assert [x["other_id"] for x in out["<r1>"]["requests"]] == ["<q1>"] and out["<lost>"]["capture"] is None
+    assert [x["record_id"] for x in out["<r1>"]["requests"]] == ["<q1>"] and [x["record_id"] for x in out["<r2>"]["requests"]] == ["<q2>"]
+    assert out["<lost>"]["capture"] is None and bytes(out["<r1>"]["capture"]["payload"]) == b"hello"
+
+
+def test_many_small_files(spark):
+    rows = [(k, f"u{k}", f"{k} " * 500) for k in range(200)]
+    got = rebuilt(spark, rows, file_bytes=20_000).collect()
+    assert sorted((bytes(r["metadata"][0]["payload"]).decode(), bytes(r["capture"]["payload"]).decode()) for r in got) == sorted((f"page-id: {k}\r\n", t) for k, _, t in rows)
