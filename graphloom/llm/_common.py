@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import sys
 import uuid
 
@@ -10,63 +9,22 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.session import shared_dir
+from graphloom.session import discard, materialize, shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+__all__ = ["append_arrow", "discard", "lower_ascii", "materialize", "new_path", "parallelism", "sampled_texts", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_written: list[str] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
-    """A fresh path in the shared folder, remembered in written() unless it is to be kept."""
-    path = f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
-    if not keep:
-        _written.append(path)
-    return path
-
-
-def written() -> list[str]:
-    """Paths of the intermediates that still exist."""
-    return list(_written)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage durably."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._graphloom_path = path
-    return back
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    with contextlib.suppress(Exception):
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that nothing will read again."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
-
-
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete intermediates. Only for callers whose results no longer read them."""
-    for path in list(paths):
-        delete_path(spark, path)
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/graphloom-{tag}-{uuid.uuid4().hex}"
 
 
 def lower_ascii(c: Column) -> Column:

@@ -37,7 +37,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW_WORDS = 10
 BLOCK_CHARS = 4_000_000
-RESULTS = ["n_words", "n_hit", "items", "spans"]
+#: Names that columns of the documents give way to; runs is one on the way.
+RESULTS = ["n_words", "n_hit", "items", "spans", "runs"]
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
@@ -159,7 +160,7 @@ def _merge(batch: pa.RecordBatch) -> list[pa.Array]:
 def scan_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window_words: int = WINDOW_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs plus n_words, n_hit, items (ids, ascending) and spans (start, end in code points of the text)."""
     fields = f"n_words long, {_RUNS}, items array<long>"
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in (*RESULTS, "runs")])
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in RESULTS])
     blocks = window_blocks(item_windows_table(benchmark, item_id, item_text, window_words), block_chars)
     found = append_arrow(docs, _pass(text_col, next(blocks)), fields)
     keys = {"__h1": F.xxhash64(text_col), "__h2": F.xxhash64(F.lit(7919), text_col)}

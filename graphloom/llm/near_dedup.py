@@ -205,8 +205,8 @@ def _mixed_pairs(shared: DataFrame, joined: DataFrame, texts: DataFrame, percent
     return near
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept), one row per row of docs."""
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = SHINGLE_WORDS, read: list[DataFrame] | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), one row per row of docs. read: takes up the tables that the result is read from."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(own.mapInArrow(_describe(words), "id long, n_shingles long, h1 long, h2 long, sig binary"), "sets")
     member = rows.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
@@ -231,6 +231,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         discard(before)
     for done in (texts, shared, near, links, more):
         discard(done)
+    if read is not None:
+        read += [rows, classes, joined]
 
     named = classes.select("h1", "h2", F.col("id").alias("head")).join(joined.withColumnRenamed("node", "head"), "head", "left").select("h1", "h2", F.coalesce("component", "head").alias("component"))
     found = member.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"])

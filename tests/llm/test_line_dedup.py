@@ -1,26 +1,33 @@
 import random
+import re
 
 from graphloom.llm import line_dedup as D
 
 
-def brute(docs):
-    seen, out = {}, []
-    order = sorted(range(len(docs)), key=lambda k: docs[k][0])
-    cuts = {k: set() for k in order}
-    for k in order:
-        lines = (docs[k][1] or "").split("\n") if docs[k][1] is not None else []
-        for at in range(len(lines) - 2):
-            w = tuple(lines[at : at + 3])
-            if "".join(w).strip(" \t\n\x0b\f\r") == "":
-                continue
+def windows(lines, long_words=D.LONG_WORDS):
+    """(first line, number of lines) of every window of a text."""
+    n = len(lines)
+    out = [(at, min(3, n)) for at in range(max(n - 2, 1))] if n else []
+    if n > 1 and long_words:
+        out += [(k, 1) for k, line in enumerate(lines) if len(re.findall(r"[^ \t\n\x0b\f\r]+", line)) >= long_words]
+    return [(at, n) for at, n in out if "".join(lines[at : at + n]).strip(" \t\n\x0b\f\r")]
+
+
+def brute(docs, long_words=D.LONG_WORDS):
+    """docs (id, text) after the cut, with n_lines and n_removed; ids are distinct and not null."""
+    seen, out = set(), []
+    for i, text in sorted(docs):
+        lines = text.split("\n") if text is not None else []
+        cut, own = set(), []
+        for at, n in sorted(windows(lines, long_words)):
+            w = tuple(lines[at : at + n])
             if w in seen:
-                cuts[k].update((at, at + 1, at + 2))
+                cut.update(range(at, at + n))
             else:
-                seen[w] = 1
-    for k, (i, t) in enumerate(docs):
-        lines = t.split("\n") if t is not None else []
-        kept = [x for a, x in enumerate(lines) if a not in cuts[k]]
-        out.append((i, None if t is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+                own.append(w)
+                seen.add(w)
+        kept = [x for k, x in enumerate(lines) if k not in cut]
+        out.append((i, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
 
@@ -35,6 +42,8 @@ def test_against_brute_force(spark):
     draw = random.Random(2)
     docs = [(k, "\n".join(draw.choice(["a", "b", "c", "", " ", "d e"]) for _ in range(draw.randint(0, 30)))) for k in range(120)]
     docs += [(200, None), (201, ""), (202, "one\ntwo"), (203, "\n".join(["same"] * 2000)), (204, "\n\n\n\n\n"), (205, "a\r\nb\r\nc\r\nd")]
+    passage = ["p " * 49 + "end", "q " * 30 + "end", "r " * 200]
+    docs += [(k, "\n".join(draw.choice(passage + [f"own {k}"]) for _ in range(draw.randint(1, 4)))) for k in range(300, 360)]
     assert run(spark, docs) == brute(docs)
 
 
@@ -49,3 +58,17 @@ def test_repeated_rows_null_ids_and_empty(spark):
     got = run(spark, [(5, same), (5, same), (None, same), (6, same)])
     assert [g for g in got if g[0] == 5] == [(5, "", 4, 4)] * 2 and (None, same, 4, 0) in got
     assert run(spark, []) == []
+
+
+def test_long_lines_between_differing_neighbours(spark):
+    long = " ".join(f"w{k}" for k in range(50))
+    got = run(spark, [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, f"e\n{long[4:]}\nf")])
+    assert got == [(1, f"a\n{long}\nb", 3, 0), (2, "c\nd", 3, 1), (3, "", 1, 1), (4, f"e\n{long[4:]}\nf", 3, 0)]
+    rows = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd")], "doc_id long, text string")
+    assert {r["n_removed"] for r in D.dedup_lines(rows, long_words=None).collect()} == {0}
+
+
+def test_a_very_long_text(spark):
+    text = "\n".join(f"line {k % 30_000}" for k in range(60_000))
+    got = run(spark, [(1, text)])[0]
+    assert got[2:] == (60_000, 30_000) and got[1] == "\n".join(f"line {k}" for k in range(30_000))

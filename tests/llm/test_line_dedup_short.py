@@ -7,7 +7,7 @@ from graphloom.llm import line_dedup as D
 def test_copies_of_short_texts_are_cut(spark):
     rows = [(1, "a long line"), (2, "a long line"), (3, "x\ny"), (4, "x\ny"), (5, "y"), (6, " "), (7, " "), (8, None), (9, "a\nb\nc"), (10, "a\nb\nc\nd"), (11, "a long line\nz")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in D.dedup_lines(df, short_texts=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in D.dedup_lines(df).collect()}
     assert got == {**{i: (t, 0) for i, t in rows}, 2: ("", 1), 4: ("", 2), 10: ("d", 3)}
 
 

@@ -2,6 +2,8 @@ import math
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from graphloom.llm import mixing as M
 
 
@@ -29,6 +31,61 @@ def entropy(ws):
     return -sum(w * math.log(w) for w in ws if w)
 
 
+def brute_mix(spark, rows, entropy_share, max_repeats, mix_blocks, seed=M.SEED):
+    """The mixture from its definition: document by document, with Spark's hashes as the only help."""
+    hashed = spark.createDataFrame(rows, "id long, text string, source string").select("id", "source", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")).alias("n"), F.xxhash64("id", "text").alias("h"))
+    epochs = hashed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(200).cast("long"))).alias("e")).select("*", F.xxhash64(F.lit(seed), "e", "h").alias("place"))
+    docs, places = defaultdict(list), {}
+    for r in epochs.collect():
+        places[r["e"], r["h"]] = r["place"]
+        if r["e"] == 0:
+            docs[r["source"]].append((r["id"], r["n"], r["h"]))
+    tokens = {s: sum(n for _, n, _ in d) for s, d in docs.items() if sum(n for _, n, _ in d)}
+    total = sum(tokens.values())
+
+    def weights(a):
+        w = {s: (t / total) ** a for s, t in tokens.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    fits = lambda a: entropy(weights(a).values()) >= entropy_share * math.log(len(tokens))
+    few = lambda a: max(total * w / tokens[s] for s, w in weights(a).items()) <= max_repeats
+    steps = [k / 200_000 for k in range(200_001)]
+    a = next((x for x in reversed(steps) if fits(x)), 0.0)
+    if not few(a):
+        a = next((x for x in steps if x >= a and few(x)), 1.0)
+    out = []
+    for s, w in weights(a).items():
+        quota, n_blocks = math.floor(w * total), math.ceil(len(docs[s]) / M.BLOCK_DOCS)
+        keys = spark.createDataFrame([(h,) for _, _, h in docs[s]], "h long").select("h", F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(n_blocks)).alias("b")).distinct().collect()
+        block = {r["h"]: r["b"] for r in keys}
+        for e in range(quota // tokens[s] + 1):
+            order = {r["b"]: r["o"] for r in spark.createDataFrame([(b,) for b in set(block.values())], "b long").select("b", F.xxhash64(F.lit(seed), F.lit(e).cast("long"), "b").alias("o")).collect()}
+            at = e * tokens[s]
+            for i, n, _ in sorted(docs[s], key=lambda d: (order[block[d[2]]], block[d[2]], places[e, d[2]], d[2], d[0])):  # noqa: B023
+                if at + n <= quota:
+                    out.append((i, s, e, n, at, min(int(at * float(mix_blocks) / quota), mix_blocks - 1)))
+                at += n
+    return sorted(out, key=str)
+
+
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_DOCS", 15)
+    rows = some(21, {"hot": 120, "b": 40, "c": 12, None: 3}) + [(900, None, "b"), (901, "", "c"), (902, None, "empty")]
+    for share, most, blocks in ((0.9, 1000.0, 8), (1.0, 3.0, 5)):
+        df = table(spark, rows).withColumns({c: F.lit("own") for c in ("quota", "h", "block", "offset", "of", "epoch")})  # clashing names
+        got = M.mix_sources(df, entropy_share=share, max_repeats=most, mix_blocks=blocks)
+        got = sorted([(r["doc_id"], r["source"], r["epoch"], r["n_tokens"], r["offset"], r["mix_block"]) for r in got.collect()], key=str)
+        want = brute_mix(spark, rows, share, most, blocks)
+        near = len(set(got) ^ set(want)) <= 0.02 * len(want)  # a quota may differ by the grid of the plain exponent
+        assert near and len({r[1] for r in got}) == len({r[1] for r in want}), (len(got), len(want))
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "x y", "b"), (3, "z " * 100, "b")]
+    out = M.mix_sources(table(spark, rows), budget=400_102, entropy_share=None, max_repeats=None).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in out} == {1: 400_000, 2: 2, 3: 100}
+
+
 def test_quotas_are_met_by_whole_permutations(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_DOCS", 20)
     rows = some(1, {"hot": 300, "b": 60, "c": 25, "d": 4})

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline as P
 from graphloom.llm import decontaminate, quality
+from test_line_dedup import brute as line_brute
 
 
 def write(spark, path, rows, labels, bench, schema):
@@ -38,6 +39,39 @@ def corpus(prose):
     return rows, labels, bench
 
 
+def near_brute(rows, words=5):
+    """Ids that stay: the least of each group of texts whose sets of five-word shingles are similar."""
+    sets = {}
+    for i, text, *_ in rows:
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return {i for i, g in group.items() if i == g}
+
+
+def test_near_dedup_finds_what_brute_force_finds(spark, docs_schema):
+    """Copies with one to six words changed, so that similarities lie on both sides of the threshold."""
+    draw = random.Random(77)
+    rows = []
+    for g in range(60):
+        w = [f"w{draw.randint(0, 400)}" for _ in range(draw.randint(40, 160))]
+        for k in range(4):
+            v = list(w)
+            for _ in range(draw.randint(0, 6) * (k > 0)):
+                v[draw.randrange(len(v))] = f"x{draw.randint(0, 10_000)}"
+            rows.append((g * 10 + k, " ".join(v), "en", "s", 1))
+    docs = spark.createDataFrame(rows, docs_schema)
+    got = {r["doc_id"] for r in dict(P.STAGES)["near_dedup"](spark, docs, "").collect()}
+    want = near_brute(rows)
+    assert want <= got and len(got - want) <= 0.01 * (len(rows) - len(want))  # recall of removals 0.99 or more
+
+
 def test_stages_on_their_own_input(spark, prose, docs_schema, tmp_path):
     rows, labels, bench = corpus(prose)
     sf = write(spark, str(tmp_path), rows, labels, bench, docs_schema)
@@ -55,10 +89,15 @@ def test_stages_on_their_own_input(spark, prose, docs_schema, tmp_path):
             assert sorted(got) == sorted(want) and not set(range(100, 120)) & set(ids)
         elif name == "line_dedup":
             assert sum(prose(903, 48) in r[1] for r in got) == 1
+            once = {r[0]: r for r in before}  # rows that repeat count as one document
+            cut = {i: (t, n) for i, t, _, n in line_brute([(i, r[1]) for i, r in once.items()])}
+            want = [(r[0], cut[r[0]][0]) for r in before if not cut[r[0]][1] or cut[r[0]][0].strip()]
+            assert sorted((r[0], r[1]) for r in got) == sorted(want)
             # the repeated row 5 counts as one document; the near copy 200 loses what it shares
             assert all(r[4] == len(r[1]) for r in got)
         elif name == "near_dedup":
             assert ids.count(5) == len([r for r in before if r[0] == 5])
+            assert sorted(got) == sorted(r for r in before if r[0] in near_brute(before))
             assert len(set(ids)) == len({r[1] for r in got})
         elif name == "decontamination":
             items = [w for i, t in bench for w in decontaminate.item_windows(t)]
