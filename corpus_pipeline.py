@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 rereads it as the next stage's docs. All stages but the last return the columns of documents; the last returns the
 drawn mixture: doc_id, source, epoch, n_tokens, offset, mix_block, weight.
 
+A stage's result is read from its predecessor's table and, for near-dedup, a small one of the ids that go; other intermediates are deleted
+before the stage returns.
+
 Edge cases: a null or blank text fails the quality rules. In the later stages, given such rows as their input, it is kept: it has no
 lines to cut, no near-duplicates, no benchmark words; mixing draws it, with no tokens, if its source has any. Rows that repeat an id
 stand and fall together where they say the same: line dedup treats equal rows as one document, near-dedup keeps or drops all rows of an id,
@@ -17,23 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from graphloom.llm._common import new_path, release, table, written
-
-#: Paths of intermediates that the stage before wrote; its result is a table by now.
-_spent: list[str] = []
-
-
-def _stage(function):
-    """Free the predecessor's intermediates, and remember those that this stage writes."""
-
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _spent)
-        before = set(written())
-        out = function(spark, docs, sf_dir)
-        _spent[:] = [p for p in written() if p not in before]
-        return out
-
-    return stage
+from graphloom.llm._common import discard, materialize, new_path, table
 
 
 def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
@@ -42,38 +29,36 @@ def _aside(docs: DataFrame, *results: str) -> tuple[DataFrame, dict[str, str]]:
     return docs.withColumnsRenamed(own), {v: k for k, v in own.items()}
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
     free, back = _aside(docs, *quality.RESULTS)
     return quality.judge_quality(free, table(spark, sf_dir, "labels")).where("kept").select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
-@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut repeated three-line windows and repeated texts of fewer lines; documents of which nothing is left go."""
+    """Cut repeated three-line windows, repeated long lines and repeated texts of fewer lines; documents of which no word is left go."""
     free, back = _aside(docs, "n_lines", "n_removed")
-    cut = line_dedup.dedup_lines(free, short_texts=True)
-    cut = cut.where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cut = line_dedup.dedup_lines(free)
+    cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
-@_stage
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) keep one document, that of the smallest id."""
-    gone = near_dedup.link_documents(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    read: list[DataFrame] = []
+    gone = materialize(near_dedup.link_documents(docs, read=read).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    for done in read:
+        discard(done)
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
-@_stage
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
     free, back = _aside(docs, *decontaminate.RESULTS)
     return decontaminate.scan_texts(free, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*free.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
-@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Draw the mixture."""
     return mixing.mix_sources(docs)
@@ -93,13 +78,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    _spent.clear()
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = new_path(spark, f"stage-{name}", keep=True)
+        path = new_path(spark, f"stage-{name}")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     raise ValueError("no stages")
