@@ -3,7 +3,8 @@
 Lines with a word are labelled content or boilerplate by Viterbi decoding; a text is kept if its content lines hold
 at least ``CONTENT_SHARE`` of its words and the base rule passes it. The field is trained here by gradient ascent on
 the conditional likelihood (forward-backward) from at most ``SAMPLE`` labelled documents of each class (the smallest by a
-hash of the id): the lines of a quality-1 document are content, of a quality-0 document boilerplate.
+hash of the id): the lines of a quality-1 document are content, of a quality-0 document boilerplate. So that chains with both labels are seen,
+documents of the two classes are also spliced: one before the other, behind it, or in its middle.
 
 Scale: one narrow pass over whole texts without a shuffle; the sample has a fixed bound, and the model is a few dozen
 numbers.
@@ -139,14 +140,27 @@ def chain_gradient(x: np.ndarray, y: np.ndarray, w: np.ndarray, t: np.ndarray) -
     return float(score), gw, gt
 
 
+def spliced(lines: list[tuple[list[str], list[int]]]) -> list[tuple[list[str], list[int]]]:
+    """Chains of both labels: the k-th document of a class before, behind or in the middle of the k-th of the other."""
+    of = lambda label: [c for c in lines if c[1][0] == label]
+    out = []
+    for k, (good, bad) in enumerate(zip(of(CONTENT), of(BOILERPLATE), strict=False)):
+        host, guest = (good, bad) if k % 2 else (bad, good)
+        at = (0, len(host[0]) // 2, len(host[0]))[k % 3]
+        out.append(tuple(h[:at] + g + h[at:] for h, g in zip(host, guest, strict=True)))
+    return out
+
+
 def train_field(labelled: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray] | None:
     """Weights and transitions from (text, label) samples; None unless both labels are there."""
-    chains = [(x, label) for text, label in labelled if text and len((x := line_features(text)[0]))]
-    if len({label for _, label in chains}) < 2:
+    lines = [([x for x in text.split("\n") if x.strip(BLANKS)], label) for text, label in labelled if text]
+    lines = [(x, [label] * len(x)) for x, label in lines if x]
+    if len({y[0] for _, y in lines}) < 2:
         return None
-    lengths = sorted({len(x) for x, _ in chains})
-    groups = [[(x, label) for x, label in chains if len(x) == n] for n in lengths]
-    batches = [(np.stack([x for x, _ in g]), np.repeat([[label] for _, label in g], n, axis=1)) for n, g in zip(lengths, groups, strict=True)]
+    chains = [(line_features("\n".join(x))[0], np.array(y)) for x, y in lines + spliced(lines)]
+    lengths = sorted({len(y) for _, y in chains})
+    groups = [[c for c in chains if len(c[1]) == n] for n in lengths]
+    batches = [(np.stack([x for x, _ in g]), np.stack([y for _, y in g])) for g in groups]
     w, t = np.zeros((2, len(FEATURES))), np.zeros((2, 2))
     sums = [np.zeros_like(w), np.zeros_like(t)]
     for _ in range(EPOCHS):
@@ -211,6 +225,25 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return append_arrow(docs, run, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean")
 
 
+def query_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base rule alone."""
+    return query(spark, sf_dir).drop("content_share", "kept")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge_quality(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+#: The base rule's columns.
+ORACLE_BASE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+again AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+wins AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
+twice AS (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+hit AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM (SELECT doc_id, i, unnest([0, 1, 2]) AS d FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+       coalesce(a.n, 0)::BIGINT AS n_dup_lines, coalesce(h.n, 0)::BIGINT AS n_repeat_words, len(w) < {MIN_WORDS} OR 100 * coalesce(h.n, 0) > {MAX_REPEAT_PERCENT} * len(w) AS base_failed
+FROM docs d LEFT JOIN again a USING (doc_id) LEFT JOIN hit h USING (doc_id)
+"""

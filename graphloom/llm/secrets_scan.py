@@ -5,8 +5,9 @@ A candidate is a run of ``MIN_LENGTH`` or more token characters that touches no
 digits of any script may touch it, and so may letters of scripts written without spaces (ideographs, kana, Hangul, Thai), which end a token. It is a
 finding ("random") if the log likelihood ratio of the two models is over ``MIN_RATIO`` nats a character.
 
-The samples: random strings are drawn from usual key alphabets by a fixed seed; ordinary ones are identifiers composed from
-a word list in usual styles, and long words of at most ``SAMPLE`` documents labelled as good.
+The samples: random strings are drawn from usual key alphabets by a fixed seed; ordinary ones are words of at most ``SAMPLE`` documents labelled as
+good, in whatever languages these have, alone and composed as compounds and identifiers are, and identifiers composed from a word list, and
+rulers, dates and the like. Accents are taken off for this, as identifiers are written without.
 
 Scale: one narrow pass over whole texts without a shuffle; the models are two tables of a few thousand numbers.
 
@@ -21,6 +22,7 @@ import random
 import re
 import string
 import sys
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -78,19 +80,38 @@ def random_strings(n: int, seed: int) -> list[str]:
     return ["".join(draw.choices(kinds[k % len(kinds)], k=draw.randint(20, 64))) for k in range(n)]
 
 
-def identifiers(n: int, seed: int) -> list[str]:
-    """Labelled samples of ordinary identifiers: words in snake, kebab, camel, dotted, constant and path style."""
+def identifiers(n: int, seed: int, known: list[str] | None = None) -> list[str]:
+    """Labelled samples of ordinary identifiers: words in snake, kebab, camel, dotted, constant, path and compound style."""
     draw = random.Random(seed)
+    known = known or _WORDS
     out = []
     for k in range(n):
-        words = draw.choices(_WORDS, k=draw.randint(3, 7))
+        words = draw.choices(known, k=draw.randint(3, 7))
         number = str(draw.randint(0, 2030)) if draw.random() < 0.3 else ""
-        style = k % 6
-        text = ["_".join(words), "-".join(words), words[0] + "".join(w.title() for w in words[1:]), ".".join(words), "_".join(words).upper(), "/".join(words)][style]
+        style = k % 7
+        text = ["_".join(words), "-".join(words), words[0] + "".join(w.title() for w in words[1:]), ".".join(words), "_".join(words).upper(), "/".join(words), "".join(words)][style]
         out.append(text + (("_" if style in (0, 4) else "") + number if number else ""))
     return out
 
 
+def marks(n: int, seed: int) -> list[str]:
+    """Labelled samples of ordinary strings that are not words: rulers, dates, versions, alphabets in order."""
+    draw = random.Random(seed)
+    day = lambda: f"{draw.randint(1970, 2040)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}"
+    series = [string.ascii_lowercase, string.ascii_uppercase, string.digits * 4]
+    kinds = [
+        lambda: ALPHABET[k // len(kinds) % len(ALPHABET)] * draw.randint(20, 80),
+        lambda: draw.choice("/.-").join(day() for _ in range(draw.randint(2, 3))),
+        lambda: f"{day()}T{draw.randint(0, 23):02}.{draw.randint(0, 59):02}.{draw.randint(0, 59):02}/{day()}",
+        lambda: ".".join(str(draw.randint(0, 40)) for _ in range(draw.randint(8, 12))),
+        lambda: draw.choice(series)[draw.randint(0, 5) :],
+    ]
+    out = []
+    for k in range(n):
+        out.append(kinds[k % len(kinds)]())
+    return out
+
+
 def _codes(text: str) -> np.ndarray:
     return _CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
 
@@ -129,25 +150,26 @@ def all_spans(text: str, model: np.ndarray, min_ratio: float = MIN_RATIO) -> lis
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def ordinary_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_docs: int, n_words: int) -> list[str]:
-    """Long ASCII words of a bounded sample of documents labelled good, base spans left out."""
-    ids = labels.where("quality = 1").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(n_docs)
-    words = []
-    for r in sampled_texts(docs, ids, id_col, text_col):
-        text = r["text"] or ""
-        for start, end, _ in sorted(base_spans(text), reverse=True):
-            text = text[:start] + " " + text[end:]
-        words += [w for w in re.findall(r"[A-Za-z][A-Za-z0-9+/_.=-]{7,}", text) if ratio_free(w)]
-    return words[:n_words]
+def plain_words(text: str) -> list[str]:
+    """The words of a text that can serve as ordinary samples: base spans left out, accents taken off, letters alone."""
+    for start, end, _ in sorted(base_spans(text), reverse=True):
+        text = text[:start] + " " + text[end:]
+    bare = "".join(c for c in unicodedata.normalize("NFKD", text.replace("ß", "ss")) if not unicodedata.combining(c))
+    return re.findall(r"(?<!\S)[A-Za-z]{3,}(?![^\s.,;:!?])", bare)
 
 
-def ratio_free(word: str) -> bool:
-    """Whether a word can serve as an ordinary sample: few digits."""
-    return sum(c.isdigit() for c in word) * 4 <= len(word)
+def ordinary_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n_docs: int, n_words: int) -> list[str]:
+    """Words of a bounded sample of documents labelled good, at most n_words, as many of each document."""
+    ids = labels.where("quality = 1").select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(n_docs)
+    found = [plain_words(r["text"] or "") for r in sampled_texts(docs, ids, id_col, text_col)]
+    each = max(1, n_words // max(1, len(found)))
+    return [w for words in found for w in words[:each]][:n_words]
 
 
 def build_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    plain = identifiers(DRAWN, 5) + ordinary_words(docs, labels, id_col, text_col, SAMPLE, SAMPLE_WORDS)
+    """The models' log likelihood ratios, trained from the corpus's words and from composed samples."""
+    words = ordinary_words(docs, labels, id_col, text_col, SAMPLE, SAMPLE_WORDS)
+    plain = identifiers(DRAWN, 5) + marks(DRAWN // 8, 8) + words + (identifiers(DRAWN, 6, words) if words else [])
     return train_models(random_strings(DRAWN, 7), plain)
 
 
@@ -180,6 +202,11 @@ def redact(docs: DataFrame, spans_col: str = "secrets", text_col: str = "text",
     return append_arrow(docs, run, f"{text_col} string")
 
 
+def query_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base rule alone."""
+    return query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = scan_secrets(docs, build_model(docs, table(spark, sf_dir, "labels")))
@@ -187,3 +214,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("secrets")).alias("spans"))
+
+
+def _places(kind: int, name: str, pattern: str, least: int, group: int = 0) -> str:
+    """SQL for the spans of a pattern: matches, and where they start, from the lengths of what lies between them."""
+    return f"""
+  SELECT doc_id, {kind} AS k, '{name}' AS kind, list_sum([length(x) FOR x IN parts[:i]]) + coalesce(list_sum([length(x) FOR x IN met[:i - 1]]), 0) AS start, length(met[i]) AS size
+  FROM (SELECT doc_id, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS met, regexp_extract_all(text, '{pattern}', {group}) AS held, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS i FROM docs)
+  WHERE length(held[i]) >= {least}"""
+
+
+_QUOTES = """["'']?"""
+_SQL_ASSIGN = f"({_NAMES}){_QUOTES}\\x20*[:=]\\x20*{_QUOTES}([A-Za-z0-9+/_.=-]+)"
+#: The base rule's columns.
+ORACLE_BASE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_places(0, 'assign', _SQL_ASSIGN, 6, 2)} UNION ALL {_places(1, 'access', 'AKIA[A-Z0-9]+', 20)} UNION ALL {_places(2, 'hex', '[0-9a-f]{24,}', 24)}),
+told AS (
+  SELECT doc_id, count_if(k = 0) AS a, count_if(k = 1) AS c, count_if(k = 2) AS h, string_agg(kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT, ',' ORDER BY start, k) AS said FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(said, '')) AS base_sha256
+FROM docs LEFT JOIN told USING (doc_id)
+"""

@@ -74,14 +74,37 @@ def test_held_out_accuracy_and_edges(spark, prose, docs_schema):
     good, bad = corpus(prose)
     rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(good + bad)]
     labels = spark.createDataFrame([(k, int(k < 120), 0) for k in range(180) if k % 2], "doc_id long, quality int, toxic int")
-    rows += [(900, None, None, None, None), (901, "", "en", "s", 0), (902, "x " * 60, "en", "s", 1), (903, prose(77, 20_000), "en", "s", 1)]
+    rows += [(900, None, None, None, None), (901, "", "en", "s", 0), (902, "x " * 60, "en", "s", 1), (903, prose(77, 20_000), "en", "s", 1), (904, prose(78, 300_000), "en", "s", 1)]
     got = {r["doc_id"]: r for r in Q.judge_quality(spark.createDataFrame(rows, docs_schema), labels).collect()}
     assert len(got) == len(rows)
     assert all(got[k]["kept"] for k in range(0, 120, 2)) and not any(got[k]["kept"] for k in range(120, 180, 2))
-    assert [got[k]["kept"] for k in (900, 901, 902, 903)] == [False, False, False, True]
+    assert [got[k]["kept"] for k in (900, 901, 902, 903, 904)] == [False, False, False, True, True]
     assert got[902]["base_failed"] and got[902]["n_repeat_words"] == 60
 
 
+def test_lines_of_spliced_documents_held_out(spark, prose):
+    """Line labels of documents that hold both kinds; none of their lines was in training."""
+    good, bad = corpus(prose)
+    model = Q.train_field([(t, 1) for t in good[:60]] + [(t, 0) for t in bad[:30]])
+    draw, said, true = np.random.default_rng(5), [], []
+    for g, b in zip(good[60:90], bad[30:], strict=True):
+        lines, junk_lines = g.split("\n"), [x for x in (b[k : k + 90] for k in range(0, len(b), 90)) if x.strip()][:4]
+        at = int(draw.integers(0, len(lines) + 1))
+        text = "\n".join(lines[:at] + junk_lines + lines[at:])
+        x, _ = Q.line_features(text)
+        said += Q.viterbi(x @ model[0].T, model[1]).tolist()
+        true += [1] * at + [0] * len(junk_lines) + [1] * (len(lines) - at)
+    said, true = np.array(said) == Q.BOILERPLATE, np.array(true) == Q.BOILERPLATE
+    precision, recall = (said & true).sum() / said.sum(), (said & true).sum() / true.sum()
+    assert precision >= 0.9 and recall >= 0.9, (precision, recall)
+
+
+def test_splices_hold_both_labels():
+    lines = [(["a", "b"], [1, 1]), (["x"], [0]), (["c", "d"], [1, 1]), (["y"], [0]), (["e"], [1])]
+    assert Q.spliced(lines)[0] == (["a", "b", "x"], [1, 1, 0])
+    assert [sorted(set(y)) for _, y in Q.spliced(lines)] == [[0, 1]] * 2 and sorted(x for xs, _ in Q.spliced(lines) for x in xs) == ["a", "b", "c", "d", "x", "y"]
+
+
 def test_without_labels_and_empty(spark, prose, docs_schema):
     none = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, prose(1, 80), "en", "s", 1), (1, prose(1, 80), "en", "s", 1), (2, "short", None, None, None)], docs_schema)

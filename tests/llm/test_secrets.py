@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import random
 
@@ -75,6 +76,39 @@ def test_models_on_held_out_samples():
     assert sum(S.ratio(x, model) > S.MIN_RATIO for x in plain) <= 5
 
 
+def unseen(draw):
+    """Secrets in shapes that the samples do not have."""
+    b58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    of = lambda chars, n: "".join(draw.choices(chars, k=n))
+    yield "base58", of(b58, draw.randint(25, 50))
+    yield "base32", of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", draw.randint(26, 40))
+    yield "uuid", "-".join(of("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))
+    yield "upper hex", of("0123456789ABCDEF", 40)
+    yield "signed token", base64.urlsafe_b64encode(f'{{"alg":"HS256","sub":{draw.randint(0, 10**9)}}}'.encode()).decode().strip("=") + "." + base64.urlsafe_b64encode(draw.randbytes(32)).decode().strip("=")
+    yield "prefixed", f"ghp_{of(b58, 36)}"
+
+
+ORDINARY = """Kraftfahrzeughaftpflichtversicherung Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften Aufmerksamkeitsdefizitstoerung
+Bundesausbildungsfoerderungsgesetz Grundstuecksverkehrsgenehmigungszustaendigkeit Geschwindigkeitsbegrenzung anticonstitutionnellement/intergouvernementalisation
+electroencefalografista.contrarrevolucionario internationalization_localization_framework com.fasterxml.jackson.databind.ObjectMapper supercalifragilisticexpialidocious
+www.example.com/articles/2023/11/how-to-build-things MAX_CONNECTION_POOL_SIZE_DEFAULT ______________________________ ======================== ................................
+2023-01-01T00.00/2024-12-31 ABCDEFGHIJKLMNOPQRSTUVWXYZ usr/local/lib/python3.13/site-packages ProcessingInstructionTokenizerFactory""".split()
+
+
+def test_precision_and_recall_on_unseen_shapes(spark):
+    """Trained without words of the language of half of the ordinary strings, and on none of the secrets' shapes."""
+    words = "der die das und versicherung gesellschaft bestimmung verordnung schrift grenze arbeit kraft fahrzeug geschwindigkeit aufmerksam bund les des une pour dans nation ment tion gouvernement".split()
+    model = S.train_models(S.random_strings(4000, 7), S.identifiers(4000, 5) + S.marks(500, 8) + words * 20 + S.identifiers(4000, 6, words))
+    draw = random.Random(31)
+    tried = [(shape, S.ratio(text, model) > S.MIN_RATIO) for _ in range(150) for shape, text in unseen(draw)]
+    assert sum(found for _, found in tried) >= 0.99 * len(tried), [shape for shape, found in tried if not found]
+    assert [w for w in ORDINARY if S.ratio(w, model) > S.MIN_RATIO] == []
+
+
+def test_words_of_documents():
+    assert S.plain_words("Über größe, token=abcdefgh naïve. a1b2c3 x.y End") == ["Uber", "grosse", "naive", "End"]
+
+
 def test_query_columns_and_edges(spark, prose, docs_schema):
     key = S.random_strings(3, 77)[2]
     hexa = hashlib.md5(b"x").hexdigest()
