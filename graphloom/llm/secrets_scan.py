@@ -98,9 +98,10 @@ def marks(n: int, seed: int) -> list[str]:
     """Labelled samples of ordinary strings that are not words: rulers, dates, versions, alphabets in order."""
     draw = random.Random(seed)
     day = lambda: f"{draw.randint(1970, 2040)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}"
+    ruled = ALPHABET + 10 * "+/_.=-"
     series = [string.ascii_lowercase, string.ascii_uppercase, string.digits * 4]
     kinds = [
-        lambda: ALPHABET[k // len(kinds) % len(ALPHABET)] * draw.randint(20, 80),
+        lambda: ruled[k // len(kinds) % len(ruled)] * draw.randint(20, 80),
         lambda: draw.choice("/.-").join(day() for _ in range(draw.randint(2, 3))),
         lambda: f"{day()}T{draw.randint(0, 23):02}.{draw.randint(0, 59):02}.{draw.randint(0, 59):02}/{day()}",
         lambda: ".".join(str(draw.randint(0, 40)) for _ in range(draw.randint(8, 12))),
@@ -169,7 +170,7 @@ def ordinary_words(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
 def build_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The models' log likelihood ratios, trained from the corpus's words and from composed samples."""
     words = ordinary_words(docs, labels, id_col, text_col, SAMPLE, SAMPLE_WORDS)
-    plain = identifiers(DRAWN, 5) + marks(DRAWN // 8, 8) + words + (identifiers(DRAWN, 6, words) if words else [])
+    plain = identifiers(DRAWN, 5) + marks(DRAWN // 4, 8) + words + (identifiers(DRAWN, 6, words) if words else [])
     return train_models(random_strings(DRAWN, 7), plain)
 
 

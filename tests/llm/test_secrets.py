@@ -98,7 +98,7 @@ www.example.com/articles/2023/11/how-to-build-things MAX_CONNECTION_POOL_SIZE_DE
 def test_precision_and_recall_on_unseen_shapes(spark):
     """Trained without words of the language of half of the ordinary strings, and on none of the secrets' shapes."""
     words = "der die das und versicherung gesellschaft bestimmung verordnung schrift grenze arbeit kraft fahrzeug geschwindigkeit aufmerksam bund les des une pour dans nation ment tion gouvernement".split()
-    model = S.train_models(S.random_strings(4000, 7), S.identifiers(4000, 5) + S.marks(500, 8) + words * 20 + S.identifiers(4000, 6, words))
+    model = S.train_models(S.random_strings(4000, 7), S.identifiers(4000, 5) + S.marks(1000, 8) + words * 20 + S.identifiers(4000, 6, words))
     draw = random.Random(31)
     tried = [(shape, S.ratio(text, model) > S.MIN_RATIO) for _ in range(150) for shape, text in unseen(draw)]
     assert sum(found for _, found in tried) >= 0.99 * len(tried), [shape for shape, found in tried if not found]
