@@ -9,7 +9,8 @@ so every such pair meets in a bucket; beyond that distance most pairs still do:
 miss each other in all buckets with a probability of 3e-7. Candidates are confirmed on full sets.
 
 Buckets are never expanded into all pairs:
-1. each class is compared with one centre, the smallest id of the bucket it shares most buckets with;
+1. each class is compared with one centre, that of the bucket it shares most buckets with: the member that is in most shared buckets, as the
+   copies with the fewest edits are, since they are nearest to all others;
 2. confirmed links give components; buckets that lie in one component are done;
 3. members of the buckets left ("mixed") that are outside the largest component of one are held against the mixed
    members of other components by their rarest shingles: with shingles in one global order, rarest among the mixed members first,
@@ -213,8 +214,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialize(member.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.max("sig").alias("sig")), "classes")
 
     keys = classes.select("id", "sig").mapInArrow(_index, "id long, key long")
-    centres = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("top")).where(F.col("centre") < F.col("top")).drop("top")
-    shared = materialize(keys.join(centres, "key").select("key", "id", "centre"), "buckets")
+    several = keys.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("top")).where(F.col("least") < F.col("top")).select("key")
+    met = materialize(keys.join(several, "key"), "buckets")
+    central = met.join(met.groupBy("id").agg(F.count("*").alias("n")), "id")
+    centres = central.groupBy("key").agg(F.max(F.struct("n", (-F.col("id")).alias("minus"))).alias("most")).select("key", (-F.col("most.minus")).alias("centre"))
+    shared = materialize(met.join(centres, "key").select("key", "id", "centre"), "centres")
     wanted = shared.select("id").distinct()
     texts = materialize(own.join(wanted, "id", "left_semi"), "texts")
 
@@ -229,7 +233,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         before = joined
         joined = materialize(components(links.unionByName(more)), "components")
         discard(before)
-    for done in (texts, shared, near, links, more):
+    for done in (texts, met, shared, near, links, more):
         discard(done)
     if read is not None:
         read += [rows, classes, joined]
