@@ -23,6 +23,7 @@ from graphloom.graph import Graph
 from graphloom.operators import checks, lifecycle, mapping, matching
 from graphloom.plans import dl
 from graphloom.plans.reason import reason
+from graphloom.session import bounded_rows
 from graphloom.sources import rdf, store, tabular
 from graphloom.state import State
 
@@ -112,7 +113,7 @@ class Engine:
         self.feedback = [(r["tool"], r["rule_id"], r["entity"], r["accepted"]) for r in rows("tool_feedback")]
         self.align_votes = [(r["source_iri"], r["target_iri"], r["predicted_relation"], r["accepted"], r["signals_json"]) for r in rows("align_feedback")]
         self.custom_rules = [checks.CustomRule(r["id"], r["rule_pack"], r["query"], r["severity"], r["message"] or "") for r in rows("enforce_rules") if r["enabled"]]
-        self.watchers[:] = [lifecycle.Watcher(r["id"], r["query"] or "", r["threshold"], r["check_type"], r["severity"], r["action"], r["message"] or "", r["webhook_url"], r["enabled"]) for r in rows("monitor_watchers")]
+        self.watchers[:] = [lifecycle.Watcher(r["id"], r["query"] or "", r["threshold"], r["check_type"], r["severity"], r["action"], r["message"] or "", r["webhook_url"], r["enabled"], json.loads(r["webhook_headers"]) if r["webhook_headers"] else None) for r in rows("monitor_watchers")]
         self.monitor_.blocked = any(r["key"] == "blocked" and r["value"] == "true" for r in rows("monitor_state"))
 
     def add_rule(self, rule: checks.CustomRule) -> None:
@@ -371,7 +372,8 @@ class Engine:
     def monitor(self, watchers: str | None = None) -> dict:
         for w in json.loads(watchers) if watchers else []:
             self.watchers.append(lifecycle.Watcher(**w))
-            self.keep("monitor_watchers", vars(self.watchers[-1]))
+            headers = self.watchers[-1].webhook_headers
+            self.keep("monitor_watchers", vars(self.watchers[-1]) | {"webhook_headers": json.dumps(headers) if headers else None})
         out, after = self.monitor_.run(self.graph)
         if after is not self.graph and out["status"] == "auto_rolled_back":
             self.put(after)
@@ -432,8 +434,11 @@ class Engine:
         classes = t.where((F.col("p") == T.TYPE) & (F.col("o") == T.CLASS)).select(F.col("s").alias("iri")).distinct()
         labels = t.where(F.col("p") == T.LABEL).groupBy(F.col("s").alias("iri")).agg(F.min("o").alias("label"))
         named = classes.join(labels, "iri", "left").withColumn("text", F.coalesce(T.lex(F.col("label")), T.local(F.col("iri"))))
-        edges = [(r["o"], r["s"]) for r in t.where((F.col("p") == T.SUBCLASS) & T.is_iri(F.col("o"))).limit(dl.MAX_AXIOMS).collect()]  # the hierarchy
-        placed = V.train_hierarchy(edges, [r["iri"] for r in classes.limit(dl.MAX_AXIOMS).collect()], struct_dim, struct_epochs)
+        edges = bounded_rows(t.where((F.col("p") == T.SUBCLASS) & T.is_iri(F.col("o"))).select("o", "s"), dl.MAX_AXIOMS)
+        names = bounded_rows(classes, dl.MAX_AXIOMS)
+        if edges is None or names is None:
+            raise ValueError(f"the hierarchy has over {dl.MAX_AXIOMS} classes or edges; its training holds it in driver memory")
+        placed = V.train_hierarchy([(r["o"], r["s"]) for r in edges], [r["iri"] for r in names], struct_dim, struct_epochs)
         struct = self.spark.createDataFrame(list(placed.items()), "iri string, struct_vec array<double>")
         self.vectors = named.withColumn("text_vec", V.hashed_ngrams("text").cast("array<double>")).join(struct, "iri").select("iri", "text_vec", "struct_vec").persist()
         return {"ok": True, "embedded": self.vectors.count(), "text_dim": 128, "struct_dim": struct_dim}

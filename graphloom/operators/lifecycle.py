@@ -166,6 +166,7 @@ class Watcher:
     message: str = ""
     webhook_url: str | None = None
     enabled: bool = True
+    webhook_headers: dict[str, str] | None = None
 
 
 def watch_values(g: Graph, watchers: list[Watcher]) -> DataFrame:
@@ -182,10 +183,10 @@ def watch_values(g: Graph, watchers: list[Watcher]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def deliver(url: str, payload: dict, timeout: float = 5.0) -> bool:
-    """POST a JSON payload; failures are reported, not raised."""
+def deliver(url: str, payload: dict, headers: dict[str, str] | None = None, timeout: float = 5.0) -> bool:
+    """POST a JSON payload with further headers; failures are reported, not raised."""
     try:
-        request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json"})
+        request = urllib.request.Request(url, json.dumps(payload).encode(), {"Content-Type": "application/json", **(headers or {})})
         with urllib.request.urlopen(request, timeout=timeout) as r:
             return 200 <= r.status < 300
     except OSError:
@@ -208,7 +209,8 @@ class Monitor:
             elif r["action"] == "auto_rollback" and not rolled and self.versions is not None and self.versions.entries:
                 after, rolled = self.versions.rollback(self.versions.history()[0]["label"]), True
             if by_id[r["id"]].webhook_url:
-                self.send(by_id[r["id"]].webhook_url, {"watcher": r["id"], "value": r["value"], "severity": r["severity"], "message": by_id[r["id"]].message})
+                told = by_id[r["id"]].webhook_headers
+                self.send(by_id[r["id"]].webhook_url, {"watcher": r["id"], "value": r["value"], "severity": r["severity"], "message": by_id[r["id"]].message}, *([told] if told else []))
         status = "auto_rolled_back" if rolled else "blocked" if self.blocked else "alert" if alerts else "ok"
         return {"status": status, "checked": len(rows), "alerts": [{"watcher": r["id"], "value": r["value"], "threshold": r["threshold"], "severity": r["severity"], "action": r["action"]} for r in alerts]}, after
 

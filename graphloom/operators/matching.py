@@ -61,14 +61,20 @@ def rename_signals(pairs: DataFrame) -> DataFrame:
 def rename_candidates(old: Graph, new: Graph, weights: list[float] | None = None, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
     """(from_iri, to_iri, confidence, signals): removed terms that may have become added ones.
 
-    Only changed terms of the same kind or with the same domain and range can reach the threshold together with a label, so the pairs
-    are the removed and added terms: a product of changes, not of vocabularies.
+    Terms of different kinds without a common domain and range have nothing but their labels, so unless labels alone may reach the
+    threshold, the pairs are those of removed and added terms of one kind, or of one domain and range: a product of changes, not of vocabularies.
     """
     w = weights or DRIFT_WEIGHTS
     a, b = vocabulary(old), vocabulary(new)
     side = lambda df, x: df.select(*[F.col(c).alias(f"{x}_{c}") for c in df.columns])
     gone, came = side(a.join(b, "iri", "left_anti"), "a"), side(b.join(a, "iri", "left_anti"), "b")
-    scored = rename_signals(gone.join(came, F.lit(True)))
+    same_kind = F.col("a_kind") == F.col("b_kind")
+    if w[1] > threshold:
+        pairs = gone.join(came, F.lit(True))
+    else:
+        placed = (F.col("a_domain") == F.col("b_domain")) & (F.col("a_range") == F.col("b_range"))
+        pairs = gone.join(came, same_kind).unionByName(gone.join(came, placed).where(~same_kind))
+    scored = rename_signals(pairs)
     names = ["domain_range", "label_sim", "same_kind", "hierarchy"]
     confidence = functools.reduce(Column.__add__, [F.col(n) * x for n, x in zip(names, w, strict=True)])
     return scored.withColumn("confidence", confidence).where(F.col("confidence") > threshold).select(F.col("a_iri").alias("from_iri"), F.col("b_iri").alias("to_iri"), "confidence", *names)
@@ -131,7 +137,7 @@ def class_signals(g: Graph) -> DataFrame:
 
 def _compare_block(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.DataFrame:
     """Pairs of two blocks with similar labels. Shared characters bound Jaro-Winkler from above, so most pairs are settled by one
-    matrix operation; the others are scored."""
+    matrix operation; the word overlap is counted for all pairs that share a word. Pairs that either could lift to least are scored."""
     if left.empty or right.empty:
         return pd.DataFrame({"a": [], "b": [], "label": []})
     chars = sorted({c for x in (*left["label"], *right["label"]) for c in x})
@@ -148,18 +154,25 @@ def _compare_block(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.
     ca, cb = counts(la), counts(lb)
     na, nb = ca.sum(1), cb.sum(1)
     words_b = [set(x.split()) for x in lb]
+    sizes_b = np.array([len(w) for w in words_b])
+    having: dict[str, list[int]] = {}
+    for j, ws in enumerate(words_b):
+        for w in ws:
+            having.setdefault(w, []).append(j)
     rows = []
     for k, x in enumerate(la):
         m = np.minimum(ca[k][None, :], cb).sum(1)
         top = (m / max(na[k], 1) + m / np.maximum(nb, 1) + (m > 0)) / 3
         best = top + PREFIX_CAP * (1 - top)
         words = set(x.split())
-        for j in np.flatnonzero(best >= least):
-            both = len(words & words_b[j])
-            sim = max(jaro_winkler(x, lb[j]), both / len(words | words_b[j]))
+        both = np.zeros(len(lb))
+        for w in words & having.keys():
+            both[having[w]] += 1
+        overlap = both / np.maximum(len(words) + sizes_b - both, 1)
+        for j in np.flatnonzero((best >= least) | (overlap >= least)):
+            sim = max(jaro_winkler(x, lb[j]), float(overlap[j]))
             if sim >= least:
                 rows.append((left["iri"].iat[k], right["iri"].iat[j], sim))
-        # token overlap that the character bound would hide cannot exist: equal words share their characters
     return pd.DataFrame(rows, columns=["a", "b", "label"])
 
 

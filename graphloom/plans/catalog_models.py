@@ -126,16 +126,18 @@ def prf(spark, sf_dir):
 # vectors -----------------------------------------------------------------------------------------
 
 
-def _vectors(spark, sf_dir, asked="iri < 3"):
+def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").alias("iri"), F.col("embedding").cast("array<double>").alias("text_vec")).withColumn("struct_vec", V.into_ball(F.col("text_vec")))
-    q = v.where(asked).select(F.col("iri").alias("query"), F.col("text_vec").alias("q_text"), F.col("struct_vec").alias("q_struct"))
+    q = v.where("iri % 100 = 0").select(F.col("iri").alias("query"), F.col("text_vec").alias("q_text"), F.col("struct_vec").alias("q_struct"))
     return v, q
 
 
-def _top(mode, asked="iri < 3"):
+def _top(mode):
+    """The nearest of all rows to every hundredth row."""
+
     def run(spark, sf_dir):
-        v, q = _vectors(spark, sf_dir, asked)
+        v, q = _vectors(spark, sf_dir)
         return V.top_k(v, q, 10, mode).select("query", "iri", F.round("score", 4).alias("score"), "rank")
 
     return run
@@ -146,14 +148,13 @@ WITH v AS (SELECT vec_id AS iri, embedding::DOUBLE[] AS t, sqrt(list_sum([x * x
 b AS (SELECT *, [x * 0.9::DOUBLE / (1 + n) FOR x IN t] AS s FROM v),
 p AS (SELECT q.iri AS query, b.iri, list_dot_product(q.t, b.t) / (q.n * b.n) AS cos,
   acosh(greatest(1 + 2 * pow(list_distance(q.s, b.s), 2) / (greatest(1 - list_dot_product(q.s, q.s), 1e-5) * greatest(1 - list_dot_product(b.s, b.s), 1e-5)), 1)) AS d
-  FROM b AS q JOIN b ON q.iri < 3),
+  FROM b AS q JOIN b ON q.iri % 100 = 0),
 r AS (SELECT query, iri, {score} AS score, row_number() OVER (PARTITION BY query ORDER BY {score} {way}, iri) AS rank FROM p)
 SELECT query, iri, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
 
 for _name, _mode, _score, _way in (("vec_cosine_topk", "cosine", "cos", "DESC"), ("vec_poincare_topk", "poincare", "d", ""), ("vec_product_topk", "product", "0.5::DOUBLE * cos + 0.5::DOUBLE / (1 + d)", "DESC")):
-    contract(_name, _VEC.format(score=_score, way=_way))(_top(_mode))
-    # the same search for every hundredth row, so that the work grows with the table
-    contract(f"{_name}_hundredth", _VEC.replace("q.iri < 3", "q.iri % 100 = 0").format(score=_score, way=_way))(_top(_mode, "iri % 100 = 0"))
+    for _alias in (_name, f"{_name}_hundredth"):  # two names of one search
+        contract(_alias, _VEC.format(score=_score, way=_way))(_top(_mode))
 
 
 # plans, watchers, lineage, grounding -------------------------------------------------------------

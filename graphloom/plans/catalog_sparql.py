@@ -237,12 +237,14 @@ SELECT '<http://example.org/brand/' || replace(p_brand, ' ', '_') || '>' AS b, {
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part)"""
 
 
-def _list_members(spark, sf_dir, kept):
-    """The members of the lists of each brand's parts, those whose place k is kept."""
+@contract("sparql_list_members_all", _MEMBERS)
+@contract("sparql_list_members", _MEMBERS)
+def list_members(spark, sf_dir):
+    """The members of the lists of each brand's parts, which hold all of them; two names of one query."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    df = table(spark, sf_dir, "part").withColumn("k", F.row_number().over(w)).where(kept).withColumn("last", F.max("k").over(Window.partitionBy("p_brand")))
+    df = table(spark, sf_dir, "part").withColumn("k", F.row_number().over(w)).withColumn("last", F.max("k").over(Window.partitionBy("p_brand")))
     brand = F.replace(F.col("p_brand"), F.lit(" "), F.lit("_"))
     cell = lambda k: F.concat(F.lit("_:l"), brand, F.lit("_"), k.cast("string"))
     cells = emit(df, cell(F.col("k")), [(T.FIRST, node("part", "p_partkey")), (T.REST, F.when(F.col("k") == F.col("last"), F.lit(T.NIL)).otherwise(cell(F.col("k") + 1)))])
@@ -250,16 +252,6 @@ def _list_members(spark, sf_dir, kept):
     return _run(Graph.of(cells.unionByName(heads)), "SELECT ?b ?p WHERE { ?b ex:parts/rdf:rest*/rdf:first ?p }")
 
 
-@contract("sparql_list_members", f"{_MEMBERS} WHERE k <= 6")
-def list_members(spark, sf_dir):
-    return _list_members(spark, sf_dir, "k <= 6")
-
-
-@contract("sparql_list_members_all", _MEMBERS)
-def list_members_all(spark, sf_dir):
-    return _list_members(spark, sf_dir, "true")
-
-
 @contract("sparql_ask", "SELECT EXISTS (SELECT 1 FROM region WHERE r_name = 'ASIA') AS result")
 def ask(spark, sf_dir):
     return _run(graph_of(spark, sf_dir, "region"), 'ASK { ?r rdfs:label "ASIA" }')

@@ -44,19 +44,23 @@ class Inference:
 
 
 def list_members(t: DataFrame, heads: DataFrame) -> DataFrame:
-    """(head, member, position) of RDF lists; t: triples, heads: (head). Rounds follow the longest list."""
+    """(head, member, position) of RDF lists; t: triples, heads: (head).
+
+    Round k joins what was found with the jumps of 2^k cells, so the number of rounds is logarithmic in the longest list. A cyclic list raises.
+    """
     first = t.where(F.col("p") == T.FIRST).select(F.col("s").alias("cell"), F.col("o").alias("member"))
-    rest = t.where(F.col("p") == T.REST).select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    at = heads.select("head", F.col("head").alias("cell"), F.lit(0).alias("position")).where(F.col("cell") != T.NIL)
-    out = None
-    for _ in range(10_000):
-        here = materialize(at.join(first, "cell").join(rest, "cell", "left").select("head", "member", "position", "next"), "list")
-        if here.isEmpty():
-            break
-        rows = here.select("head", "member", "position")
-        out = rows if out is None else out.unionByName(rows)
-        at = here.where(F.col("next").isNotNull() & (F.col("next") != T.NIL)).select("head", F.col("next").alias("cell"), (F.col("position") + 1).alias("position"))
-    return out if out is not None else heads.select("head", F.lit("").alias("member"), F.lit(0).alias("position")).limit(0)
+    jump = materialize(t.where((F.col("p") == T.REST) & (F.col("o") != T.NIL)).select(F.col("s").alias("cell"), F.col("o").alias("next")), "list")
+    found = materialize(heads.select("head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("position")).where(F.col("cell") != T.NIL), "list")
+    cells, length = jump.count(), 1
+    while True:
+        further = materialize(found.join(jump, "cell").select("head", F.col("next").alias("cell"), (F.col("position") + length).alias("position")), "list")
+        if further.isEmpty():
+            return found.join(first, "cell").select("head", "member", "position")
+        if length > cells:
+            raise ValueError("a list is cyclic")
+        found = materialize(found.unionByName(further), "list")
+        jump = materialize(jump.join(jump.select(F.col("cell").alias("next"), F.col("next").alias("after")), "next").select("cell", F.col("after").alias("next")), "list")
+        length *= 2
 
 
 class _Rules:
@@ -195,5 +199,7 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
         if fresh.isEmpty():
             break
         every = materialize(every.unionByName(fresh), "every")
+    else:
+        raise RuntimeError(f"the facts did not settle in {max_rounds} rounds")
     inferred = every.join(base, key, "left_anti")
     return Inference(profile, inferred, g.add_disjoint(inferred), rounds)

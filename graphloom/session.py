@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +25,11 @@ RECOMMENDED = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine a local one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
