@@ -139,7 +139,7 @@ def _compare_block(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.
     """Pairs of two blocks with similar labels. Shared characters bound Jaro-Winkler from above, so most pairs are settled by one
     matrix operation; the word overlap is counted for all pairs that share a word. Pairs that either could lift to least are scored."""
     if left.empty or right.empty:
-        return pd.DataFrame({"a": [], "b": [], "label": []})
+        return _pairs([])
     chars = sorted({c for x in (*left["label"], *right["label"]) for c in x})
     place = {c: k for k, c in enumerate(chars)}
 
@@ -173,7 +173,11 @@ def _compare_block(left: pd.DataFrame, right: pd.DataFrame, least: float) -> pd.
             sim = max(jaro_winkler(x, lb[j]), float(overlap[j]))
             if sim >= least:
                 rows.append((left["iri"].iat[k], right["iri"].iat[j], sim))
-    return pd.DataFrame(rows, columns=["a", "b", "label"])
+    return _pairs(rows)
+
+
+def _pairs(rows: list[tuple[str, str, float]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": pd.Series([r[0] for r in rows], dtype=object), "b": pd.Series([r[1] for r in rows], dtype=object), "label": np.array([r[2] for r in rows], float)})
 
 
 PREFIX_CAP = 0.4

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.plans import catalog_graph, catalog_models, catalog_sources, catalog_sparql
+from graphloom.plans import catalog_graph, catalog_models, catalog_more, catalog_sources, catalog_sparql
 
-QUERIES = {**catalog_sparql.QUERIES, **catalog_graph.QUERIES, **catalog_models.QUERIES, **catalog_sources.QUERIES}
-ORACLES = {**catalog_sparql.ORACLES, **catalog_graph.ORACLES, **catalog_models.ORACLES, **catalog_sources.ORACLES}
+QUERIES = {**catalog_sparql.QUERIES, **catalog_graph.QUERIES, **catalog_models.QUERIES, **catalog_sources.QUERIES, **catalog_more.QUERIES}
+ORACLES = {**catalog_sparql.ORACLES, **catalog_graph.ORACLES, **catalog_models.ORACLES, **catalog_sources.ORACLES, **catalog_more.ORACLES}
 
 
 def flagship(spark, sf_dir):
