@@ -235,8 +235,51 @@ class Compiler:
         r, shared, cond = self._sides(left, right)
         if cond is None:
             return self._merge(left.df.crossJoin(r), left, right, shared, False)
+        if self._keyless(left, right, shared):
+            return self._merge(self._inner(self._parts(left, right, r, shared)), left, right, shared, False)
         return self._merge(left.df.join(r, cond, "inner"), left, right, shared, False)
 
+    # Joins on variables none of which is bound for certain on both sides have no key to hash or sort by. Their pairs fall into disjoint parts: those
+    # whose first variable bound on both sides is the i-th, joined by its equality, and those with none, all of which are answers but for other conditions.
+    @staticmethod
+    def _keyless(left: Solution, right: Solution, shared: list[str]) -> bool:
+        return bool(shared) and not any(v in left.certain and v in right.certain for v in shared)
+
+    @staticmethod
+    def _parts(left: Solution, right: Solution, r: DataFrame, shared: list[str], extra: Column | None = None) -> list[tuple[DataFrame, DataFrame, Column]]:
+        """(left rows, right rows, condition) of each part."""
+        sides = [(left.df[f"`{_named(v)}`"], r[f"`r_{_named(v)}`"]) for v in shared]
+        more = F.lit(True) if extra is None else extra
+        apart = [a.isNull() | b.isNull() for a, b in sides]
+        parts = []
+        for i, (a, b) in enumerate(sides):
+            later = [(x == y) | z for (x, y), z in zip(sides[i + 1 :], apart[i + 1 :], strict=True)]
+            parts.append((left.df.where(a.isNotNull()), r.where(b.isNotNull()), functools.reduce(Column.__and__, [a == b, *apart[:i], *later, more])))
+        (a, b), rest = sides[0], functools.reduce(Column.__and__, apart[1:], more)
+        if shared[0] not in left.certain:
+            parts.append((left.df.where(a.isNull()), r, rest))
+        if shared[0] not in right.certain:
+            parts.append((left.df.where(a.isNotNull()), r.where(b.isNull()), rest))
+        return parts
+
+    @staticmethod
+    def _inner(parts: list[tuple[DataFrame, DataFrame, Column]]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [a.join(b, cond, "inner") for a, b, cond in parts])
+
+    @staticmethod
+    def _without(left: Solution, right: Solution, r: DataFrame, shared: list[str], extra: Column | None = None) -> DataFrame:
+        """Rows of left in no part."""
+        out, parts = left.df, Compiler._parts(left, right, r, shared, extra)
+        for _, b, cond in parts[: len(shared)]:
+            out = out.join(b, cond, "left_anti")
+        a = left.df[f"`{_named(shared[0])}`"]
+        rest = parts[-1][2]
+        unbound = out.where(a.isNull()).join(r, rest, "left_anti") if shared[0] not in left.certain else None
+        bound = out.where(a.isNotNull())
+        if shared[0] not in right.certain:
+            bound = bound.join(r.where(r[f"`r_{_named(shared[0])}`"].isNull()), rest, "left_anti")
+        return bound if unbound is None else bound.unionByName(unbound)
+
     def optional(self, left: Solution, group: Group) -> Solution:
         filters = [e for p in group.parts if p.kind == "filter" for e in conjuncts(p.args[0])]
         plain = [e for e in filters if not any(x.op == "exists" for x in walk(e))]
@@ -247,6 +290,7 @@ class Compiler:
                 right = self.filter(right, e)
         r, shared, cond = self._sides(left, right)
         cond = F.lit(True) if cond is None else cond
+        extra = None
         if plain:
             def column_of(v):
                 if v in shared and v not in left.certain:
@@ -254,10 +298,13 @@ class Compiler:
                 return left.df[f"`{_named(v)}`"] if v in left.vars else r[f"`{_named(v)}`"] if v in right.vars else None
 
             compiled = Expressions(column_of)
-            for e in plain:
-                cond = cond & F.coalesce(compiled(e).truth, F.lit(False))
-        out = self._merge(left.df.join(r, cond, "left"), left, right, shared, True)
-        return out
+            extra = functools.reduce(Column.__and__, [F.coalesce(compiled(e).truth, F.lit(False)) for e in plain])
+            cond = cond & extra
+        if self._keyless(left, right, shared):
+            met = self._inner(self._parts(left, right, r, shared, extra))
+            alone = self._without(left, right, r, shared, extra).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema.fields])
+            return self._merge(met.unionByName(alone), left, right, shared, True)
+        return self._merge(left.df.join(r, cond, "left"), left, right, shared, True)
 
     def exists(self, left: Solution, group: Group, negated: bool) -> Solution:
         """Rows of left with (or without) a compatible solution of group; its own filters may use variables of left."""
@@ -291,11 +338,11 @@ class Compiler:
         r, shared, cond = self._sides(left, right)
         if not shared:
             return left
-        if not any(v in left.certain and v in right.certain for v in shared):
-            met = F.lit(False)
-            for v in shared:
-                met = met | (left.df[f"`{_named(v)}`"].isNotNull() & r[f"`r_{_named(v)}`"].isNotNull())
-            cond = cond & met
+        if self._keyless(left, right, shared):  # only solutions that share a bound variable
+            out = left.df
+            for _, b, part in self._parts(left, right, r, shared)[: len(shared)]:
+                out = out.join(b, part, "left_anti")
+            return Solution(out, left.vars, left.certain)
         return Solution(left.df.join(r, cond, "left_anti"), left.vars, left.certain)
 
     def union(self, members: list[Solution]) -> Solution:

@@ -158,6 +158,11 @@ QUERIES = [
     "SELECT * WHERE { e:a (e:p/e:q)* ?b }",
     "SELECT * WHERE { ?a e:p ?b { ?b e:q ?c } UNION { ?c e:q ?b FILTER(?c != e:a) } }",
     "SELECT * WHERE { OPTIONAL { ?a e:q ?b } OPTIONAL { ?b e:p ?c } OPTIONAL { ?a e:p ?c } }",
+    "SELECT * WHERE { ?a e:p ?b OPTIONAL { ?a e:q ?c } { ?d e:n ?n OPTIONAL { ?d e:q ?c } } }",
+    "SELECT * WHERE { ?a e:p ?b OPTIONAL { ?a e:q ?c } OPTIONAL { ?d e:p ?c FILTER(?d != ?a) } }",
+    "SELECT * WHERE { ?a e:n ?b OPTIONAL { ?a e:q ?c } OPTIONAL { ?a e:p ?f } { ?x e:n ?n OPTIONAL { ?x e:q ?c } OPTIONAL { ?x e:p ?f } } }",
+    "SELECT * WHERE { ?a e:n ?b OPTIONAL { ?a e:q ?c } OPTIONAL { ?a e:p ?f } OPTIONAL { { ?x e:n ?n OPTIONAL { ?x e:q ?c } OPTIONAL { ?x e:p ?f } } FILTER(?n > 1) } }",
+    "SELECT * WHERE { ?a e:n ?b OPTIONAL { ?a e:q ?c } OPTIONAL { ?a e:p ?f } MINUS { ?x e:n ?n OPTIONAL { ?x e:q ?c } OPTIONAL { ?x e:p ?f } } }",
     "SELECT * WHERE { ?a e:p ?b OPTIONAL { ?b e:q ?c FILTER(!BOUND(?z)) } FILTER(?a != ?b && (!BOUND(?c) || ?c != e:a)) }",
 ]
 
@@ -249,6 +254,16 @@ def test_saved_graph_joins_without_shuffle(spark):
         spark.sql("DROP TABLE graph_for_tests")
 
 
+def test_unbound_variables_join_by_equality(spark):
+    """A variable that may be unbound on a side is a join key for the rows that bind it."""
+    rows = [(i("a"), i("p"), i("b")), (i("a"), i("q"), i("c")), (i("d"), i("p"), i("b")), (i("c"), i("p"), i("e"))]
+    found = Graph.rows(spark, rows).query(f"PREFIX e: <{EX}> SELECT * WHERE {{ ?a e:p ?b OPTIONAL {{ ?a e:q ?c }} ?c e:p ?d }}")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert any("v_c" in x and "=" in x and "isnull" not in x.lower() for x in joins), plan
+    assert not any("=" in x and " OR " in x for x in joins), plan
+
+
 def test_predicate_reaches_the_scan(spark, tmp_path):
     Graph.rows(spark, [(i("x"), i("p"), ints(1))]).quads.write.parquet(str(tmp_path / "g"))
     plan = Graph(spark.read.parquet(str(tmp_path / "g"))).query("SELECT ?x WHERE { ?x e:p ?a }", P)._jdf.queryExecution().executedPlan().toString()
