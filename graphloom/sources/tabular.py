@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import re
 import sys
 import urllib.parse
 import urllib.request
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -18,11 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.operators.mapping import stringified
+from graphloom.session import shared_dir
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: File formats by ending (fixed values); others mean CSV.
 EXTENSIONS = {"csv": "csv", "json": "json", "ndjson": "ndjson", "jsonl": "ndjson", "yaml": "yaml", "yml": "yaml", "xml": "xml", "xlsx": "xlsx", "xls": "xlsx", "parquet": "parquet"}
+#: Rows of a DuckDB result that the driver holds at once.
+BATCH_ROWS = 100_000
 
 
 def detect_format(path: str) -> str:
@@ -171,13 +176,29 @@ def sql_rows(spark: SparkSession, sql: str, connection: str = "spark") -> DataFr
         u = urllib.parse.urlparse(connection)
         reader = spark.read.format("jdbc").option("url", f"jdbc:postgresql://{u.hostname}:{u.port or 5432}{u.path}").option("query", sql)
         return stringified(reader.option("user", u.username or "").option("password", u.password or "").load())
-    import duckdb
+    return _duckdb_rows(spark, sql, duckdb_target(connection))
+
 
-    with duckdb.connect(duckdb_target(connection), read_only=duckdb_target(connection) != ":memory:") as c:
-        found = c.execute(sql).df()
-    if len(found):
-        return stringified(spark.createDataFrame(found))
-    return spark.createDataFrame([], StructType([StructField(str(n), StringType()) for n in found.columns]))
+def _duckdb_rows(spark: SparkSession, sql: str, target: str) -> DataFrame:
+    """A DuckDB query's rows, read as a stream: a result beyond one batch goes batch by batch to a table in the shared folder."""
+    import duckdb
+    import pyarrow as pa
+
+    def frame(batch: pa.RecordBatch) -> DataFrame:
+        columns = [c.cast(pa.string()) if pa.types.is_time(c.type) or pa.types.is_dictionary(c.type) else c for c in batch.columns]
+        return stringified(spark.createDataFrame(pa.Table.from_arrays(columns, names=batch.schema.names)))
+
+    with duckdb.connect(target, read_only=target != ":memory:") as c:
+        found = c.sql(sql).to_arrow_reader(BATCH_ROWS)
+        first, second = next(found, None), next(found, None)
+        if first is None:
+            return spark.createDataFrame([], StructType([StructField(n, StringType()) for n in found.schema.names]))
+        if second is None:
+            return frame(first)
+        path = f"{shared_dir(spark)}/graphloom-sql-{uuid.uuid4().hex}"
+        for batch in itertools.chain((first, second), found):
+            frame(batch).write.mode("append").parquet(path)
+    return spark.read.schema(frame(first).schema).parquet(path)
 
 
 def fetch(url: str, timeout: float = 30.0) -> str:

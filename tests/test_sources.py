@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import terms as T
 from graphloom.graph import Graph
@@ -95,10 +96,19 @@ def test_sql(spark):
     assert [tabular.sql_driver(c) for c in ("postgres://h/d", "duckdb:x.db", "a.duckdb", "spark")] == ["postgres", "duckdb", "duckdb", "spark"]
     assert tabular.sql_rows(spark, "SELECT 1 AS a, CAST(NULL AS STRING) AS b").collect()[0].asDict() == {"a": "1", "b": ""}
     assert tabular.sql_rows(spark, "SELECT 7 AS a, 'x' AS b", "duckdb::memory:").collect()[0].asDict() == {"a": "7", "b": "x"}
+    assert tabular.sql_rows(spark, "SELECT 7 AS a WHERE false", "duckdb::memory:").columns == ["a"]
+    odd = tabular.sql_rows(spark, "SELECT NULL::INT AS a, TIME '10:11:12' AS t, 'u'::ENUM('u', 'v') AS e UNION ALL SELECT 3, NULL, NULL", "duckdb::memory:")
+    assert sorted((r["a"] or "", r["t"] or "", r["e"] or "") for r in odd.collect()) == [("", "10:11:12.000000", "u"), ("3", "", "")]
     with pytest.raises(ValueError):
         tabular.sql_driver("mysql://x")
 
 
+def test_large_duckdb_results_are_streamed(spark, monkeypatch):
+    monkeypatch.setattr(tabular, "BATCH_ROWS", 4_096)
+    found = tabular.sql_rows(spark, "SELECT range AS a, 'x' || range AS b FROM range(20000)", "duckdb::memory:")
+    assert found.select(F.count("*"), F.sum("a").cast("long"), F.countDistinct("b")).first()[:] == (20000, 199990000, 20000)
+
+
 def test_repository_cache_and_slots(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.ttl").write_text("<http://a> <http://b> <http://c> .")
