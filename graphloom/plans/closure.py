@@ -13,7 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import bounded_rows, local_frame, materialize
+from graphloom.session import bounded_rows, discard, local_frame, materialize
 
 DRIVER_EDGES = 20_000
 DRIVER_PAIRS = 500_000
@@ -48,14 +48,20 @@ def closure(edges: DataFrame, driver_edges: int = DRIVER_EDGES, driver_pairs: in
         if pairs is not None:
             return local_frame(spark, sorted(pairs), ["s", "o"])
     every = jump = materialize(edges, "closure")
+    older: list[DataFrame] = []  # jumps that are no part of the result
     while True:
         step = jump.select(F.col("s").alias("m"), "o")
         grown = every.select("s", F.col("o").alias("m")).join(step, "m").select("s", "o").distinct()
         fresh = materialize(grown.join(every, ["s", "o"], "left_anti"), "closure")
         if fresh.isEmpty():
+            for done in (fresh, *older):
+                discard(done)
             return every
-        every = materialize(every.unionByName(fresh), "closure")
+        every = every.unionByName(fresh)  # paths of up to twice the length: as many tables as the depth has binary digits
         jump = materialize(jump.select("s", F.col("o").alias("m")).join(step, "m").select("s", "o").distinct(), "closure")
+        for done in older:
+            discard(done)
+        older = [jump]
 
 
 def reach(edges: DataFrame, seeds: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
@@ -75,9 +81,16 @@ def reach(edges: DataFrame, seeds: DataFrame, driver_edges: int = DRIVER_EDGES)
                 seen.add(n)
                 todo.extend(nexts.get(n, ()))
         return local_frame(spark, [(n,) for n in sorted(seen)], ["n"])
-    found = fresh = materialize(seeds.select(F.col("n").alias("s")).join(edges, "s").select(F.col("o").alias("n")).distinct(), "reach")
-    while not fresh.isEmpty():
-        step = fresh.select(F.col("n").alias("s")).join(edges, "s").select(F.col("o").alias("n")).distinct()
-        fresh = materialize(step.join(found, "n", "left_anti"), "reach")
-        found = materialize(found.unionByName(fresh), "reach")
-    return found
+    edges = materialize(edges, "edges")
+    after = lambda df: df.select(F.col("n").alias("s")).join(edges, "s").select(F.col("o").alias("n")).distinct()
+    found = fresh = materialize(after(seeds), "reach")
+    while True:
+        new = materialize(after(fresh).join(found, "n", "left_anti"), "reach")
+        if new.isEmpty():
+            for done in (edges, new, *([] if fresh is found else [fresh])):
+                discard(done)
+            return found
+        more = materialize(found.unionByName(new), "reach")
+        discard(fresh)
+        discard(found)
+        found, fresh = more, new

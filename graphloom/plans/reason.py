@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.graph import Graph
 from graphloom.plans.closure import closure
-from graphloom.session import materialize
+from graphloom.session import discard, materialize
 
 MAX_ROUNDS = 64
 _O = lambda name: f"<{T.OWL}{name}>"
@@ -183,12 +183,14 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
     base = materialize(g.triples.distinct(), "base")
     rules = _Rules(base, profile, lenient, closed_same_as, all_values)
     key = ["s", "p", "o"]
-    every, fresh, schema, rounds = base, base, None, 0
+    every, fresh, schema, found, rounds = base, base, None, [], 0  # each round's facts are a table of their own, in no earlier one
     while rounds < max_rounds:
         rounds += 1
         moved = schema is None or not fresh.where(F.col("p").isin(T.SUBCLASS, T.SUBPROPERTY)).isEmpty()
         if moved:
-            schema = materialize(rules.schema(every), "schema")
+            before, schema = schema, materialize(rules.schema(every), "schema")
+            if before is not None:
+                discard(before)
         sub = schema.where(F.col("p") == T.SUBCLASS).select("s", "o")
         props = schema.where(F.col("p") == T.SUBPROPERTY).select("s", "o")
         made = rules.instances(every, every if moved else fresh, sub, props)
@@ -198,8 +200,11 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
         fresh = materialize(new, "fresh")
         if fresh.isEmpty():
             break
-        every = materialize(every.unionByName(fresh), "every")
+        found.append(fresh)
+        every = every.unionByName(fresh)
     else:
         raise RuntimeError(f"the facts did not settle in {max_rounds} rounds")
-    inferred = every.join(base, key, "left_anti")
+    discard(fresh)
+    discard(schema)
+    inferred = functools.reduce(DataFrame.unionByName, found, base.select(*key).limit(0))
     return Inference(profile, inferred, g.add_disjoint(inferred), rounds)
