@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import terms as T
-from graphloom.plans.closure import closure, reach
+from graphloom.plans.closure import closure, reach, reach_pairs
 from graphloom.plans.sparql_expr import Expressions, Num, Val, integer, order_keys
 from graphloom.session import local_frame
 from graphloom.plans.sparql_parser import Expr, Group, Path, Query, Select, SparqlError, Triple, Update, Var, parse_query, parse_update
@@ -199,16 +199,39 @@ class Compiler:
 
     def bgp(self, triples: list[Triple]) -> Solution:
         todo = sorted(triples, key=self._cost)
-        out, bound = None, set()
+        out, bound, nodes = None, set(), set()
         while todo:
             tied = [t for t in todo if self._names(t) & bound] or todo
             t = min(tied, key=self._cost)
             todo.remove(t)
-            found = self.pattern(t)
+            found = self._from_bound(t, out, nodes) or self.pattern(t)
             out = found if out is None else self.join(out, found)
             bound |= self._names(t)
+            if not isinstance(t.p, Path):
+                nodes |= {x.name for x in (t.s, t.o) if isinstance(x, Var)}
         return out or self.unit()
 
+    def _from_bound(self, t: Triple, out: Solution | None, nodes: set[str]) -> Solution | None:
+        """A star or plus path between two variables from the values that one of them has already; None where that does not apply.
+
+        nodes: the variables that stand for subjects or objects of the graph; others may hold terms that have no path of zero length.
+        """
+        p = t.p
+        if not (out is not None and self.graph_var is None and isinstance(p, Path) and p.op in ("star", "plus") and isinstance(t.s, Var) and isinstance(t.o, Var) and t.s.name != t.o.name):
+            return None
+        start = next((x.name for x in (t.s, t.o) if x.name in nodes), None)
+        if start is None:
+            return None
+        edges = self.path_edges_full(p.args[0])
+        if start == t.o.name:
+            edges = edges.select(F.col("o").alias("s"), F.col("s").alias("o"))
+        seeds = out.df.select(_c(start).alias("n"))
+        pairs = reach_pairs(edges, seeds)
+        if p.op == "plus":
+            pairs = pairs.withColumnRenamed("o", "m").join(edges.select(F.col("s").alias("m"), "o"), "m").select("s", "o").distinct()
+        other = t.o.name if start == t.s.name else t.s.name
+        return Solution(pairs.select(F.col("s").alias(_named(start)), F.col("o").alias(_named(other))), [start, other], {start, other})
+
     # joins
     def _sides(self, left: Solution, right: Solution) -> tuple[DataFrame, list[str], Column | None]:
         """The right side with shared columns renamed, the shared variables, and the join condition."""
