@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.graph import Graph
 from graphloom.plans.closure import closure
-from graphloom.session import discard, materialize
+from graphloom.session import discard, materialize, parts_of
 
 MAX_ROUNDS = 64
 _O = lambda name: f"<{T.OWL}{name}>"
@@ -170,7 +170,17 @@ def _single_pass(base: DataFrame) -> DataFrame | None:
     under = typed(kinds.select("s", F.col("o").alias("k")).join(sub.select(F.col("s").alias("k"), "o"), "k"))
     schema = sub.select("s", F.lit(T.SUBCLASS).alias("p"), "o").unionByName(props.select("s", F.lit(T.SUBPROPERTY).alias("p"), "o"))
     made = functools.reduce(DataFrame.unionByName, [raised, given, under, schema])
-    return made.distinct().join(base, ["s", "p", "o"], "left_anti")
+    return _new(made, base)
+
+
+def _new(made: DataFrame, base: DataFrame) -> DataFrame:
+    """The distinct triples of made that are not in base; a table of any size is dealt into parts of a like size."""
+    key = ["s", "p", "o"]
+    made, base = made.select(*key), base.select(*key)
+    parts = parts_of(made, base)
+    if parts:
+        made, base = made.repartition(parts, *key), base.repartition(parts, *key)
+    return made.distinct().join(base, key, "left_anti")
 
 
 def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_as: bool = False, all_values: bool = False, max_rounds: int = MAX_ROUNDS) -> Inference:
@@ -196,8 +206,7 @@ def reason(g: Graph, profile: str = "rdfs", lenient: bool = False, closed_same_a
         made = rules.instances(every, every if moved else fresh, sub, props)
         if moved:
             made.append(schema)
-        new = functools.reduce(DataFrame.unionByName, [m.select(*key) for m in made]).distinct().join(every, key, "left_anti")
-        fresh = materialize(new, "fresh")
+        fresh = materialize(_new(functools.reduce(DataFrame.unionByName, [m.select(*key) for m in made]), every), "fresh")
         if fresh.isEmpty():
             break
         found.append(fresh)
