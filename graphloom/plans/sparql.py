@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.plans.closure import closure, reach, reach_pairs
 from graphloom.plans.sparql_expr import Expressions, Num, Val, integer, order_keys
-from graphloom.session import local_frame
+from graphloom.session import PART_BYTES, local_frame, parts_of, read_bytes
 from graphloom.plans.sparql_parser import Expr, Group, Path, Query, Select, SparqlError, Triple, Update, Var, parse_query, parse_update
 
 
@@ -31,6 +31,7 @@ class Solution:
     df: DataFrame
     vars: list[str]
     certain: set[str]
+    dealt: tuple[list[str], int] | None = None  # the variables and the number of parts by which the rows are dealt already
 
     def column(self, var: str) -> Column | None:
         return self.df[column_name(var)] if var in self.vars else None
@@ -248,11 +249,25 @@ class Compiler:
             cond = c if cond is None else cond & c
         return r, shared, cond
 
-    def _merge(self, joined: DataFrame, left: Solution, right: Solution, shared: list[str], outer: bool) -> Solution:
+    @staticmethod
+    def _dealt(left: Solution, right: Solution, r: DataFrame, shared: list[str]) -> tuple[DataFrame, DataFrame, tuple[list[str], int] | None]:
+        """Both sides of a join, and how they are dealt. Where both read more than a part, neither is broadcast, as a task would hold all of
+        it, and there are as many parts as the tables ask for. (The optimizer takes a table for as large as its compressed files.)"""
+        keys = [v for v in shared if v in left.certain and v in right.certain]
+        if not keys or min(read_bytes(left.df), read_bytes(r)) <= PART_BYTES:
+            return left.df, r, None
+        again = left.dealt is not None and left.dealt[0] == keys
+        parts = left.dealt[1] if again else parts_of(left.df, r)
+        if not parts:
+            return left.df, r.hint("merge"), None
+        a = left.df if again else left.df.repartition(parts, *[_c(v) for v in keys])
+        return a, r.repartition(parts, *[F.col(f"`r_{_named(v)}`") for v in keys]).hint("merge"), (keys, parts)
+
+    def _merge(self, joined: DataFrame, left: Solution, right: Solution, shared: list[str], outer: bool, dealt: tuple[list[str], int] | None = None) -> Solution:
         names = left.vars + [v for v in right.vars if v not in left.vars]
         cols = [F.coalesce(_c(v), F.col(f"`r_{_named(v)}`")).alias(_named(v)) if v in shared and v not in left.certain else _c(v) for v in names]
         certain = set(left.certain) if outer else left.certain | right.certain
-        return Solution(joined.select(*cols) if cols else joined.select(F.lit(1).alias("one")), names, certain)
+        return Solution(joined.select(*cols) if cols else joined.select(F.lit(1).alias("one")), names, certain, dealt)
 
     def join(self, left: Solution, right: Solution) -> Solution:
         r, shared, cond = self._sides(left, right)
@@ -260,7 +275,8 @@ class Compiler:
             return self._merge(left.df.crossJoin(r), left, right, shared, False)
         if self._keyless(left, right, shared):
             return self._merge(self._inner(self._parts(left, right, r, shared)), left, right, shared, False)
-        return self._merge(left.df.join(r, cond, "inner"), left, right, shared, False)
+        a, b, dealt = self._dealt(left, right, r, shared)
+        return self._merge(a.join(b, cond, "inner"), left, right, shared, False, dealt)
 
     # Joins on variables none of which is bound for certain on both sides have no key to hash or sort by. Their pairs fall into disjoint parts: those
     # whose first variable bound on both sides is the i-th, joined by its equality, and those with none, all of which are answers but for other conditions.
@@ -327,7 +343,8 @@ class Compiler:
             met = self._inner(self._parts(left, right, r, shared, extra))
             alone = self._without(left, right, r, shared, extra).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema.fields])
             return self._merge(met.unionByName(alone), left, right, shared, True)
-        return self._merge(left.df.join(r, cond, "left"), left, right, shared, True)
+        a, b, dealt = self._dealt(left, right, r, shared)
+        return self._merge(a.join(b, cond, "left"), left, right, shared, True, dealt)
 
     def exists(self, left: Solution, group: Group, negated: bool) -> Solution:
         """Rows of left with (or without) a compatible solution of group; its own filters may use variables of left."""
@@ -355,7 +372,8 @@ class Compiler:
         if cond is None:
             cond = F.lit(True)
             r = r.limit(1)
-        return Solution(left.df.join(r, cond, "left_anti" if negated else "left_semi"), left.vars, left.certain)
+        a, b, dealt = self._dealt(left, right, r, shared)
+        return Solution(a.join(b, cond, "left_anti" if negated else "left_semi"), left.vars, left.certain, dealt)
 
     def minus(self, left: Solution, right: Solution) -> Solution:
         r, shared, cond = self._sides(left, right)
@@ -366,7 +384,8 @@ class Compiler:
             for _, b, part in self._parts(left, right, r, shared)[: len(shared)]:
                 out = out.join(b, part, "left_anti")
             return Solution(out, left.vars, left.certain)
-        return Solution(left.df.join(r, cond, "left_anti"), left.vars, left.certain)
+        a, b, dealt = self._dealt(left, right, r, shared)
+        return Solution(a.join(b, cond, "left_anti"), left.vars, left.certain, dealt)
 
     def union(self, members: list[Solution]) -> Solution:
         names: list[str] = []
