@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from graphloom import terms as T
 from graphloom.plans.closure import closure, reach, reach_pairs
 from graphloom.plans.sparql_expr import Expressions, Num, Val, integer, order_keys
-from graphloom.session import PART_BYTES, local_frame, parts_of, read_bytes
+from graphloom.session import PART_BYTES, local_frame, parts_of, read_bytes, spread
 from graphloom.plans.sparql_parser import Expr, Group, Path, Query, Select, SparqlError, Triple, Update, Var, parse_query, parse_update
 
 
+#: Expressions that read numbers: operators, and calls of functions on numbers among them.
+_NUMERIC = ("+", "-", "*", "/", "neg", "call")
+
+
 def column_name(var: str) -> str:
     """A column name for a variable; Spark ignores case, SPARQL does not."""
     return "v_" + "".join(f"{c.lower()}~" if c.isupper() else c for c in var)
@@ -428,6 +432,26 @@ class Compiler:
         names = [v for v in left.vars if v not in marks.values()]
         return Solution(kept, left.vars, left.certain).select(names)
 
+    @staticmethod
+    def _computed(left: Solution, e: Expr, compiled) -> tuple[DataFrame, Column]:
+        """The rows of left with the steps of a number as columns, and the term of e over them.
+
+        A term names its number many times, and a number its variables; as columns they are computed once for each row.
+        """
+        if not any(x.op in _NUMERIC for x in walk(e)):
+            return left.df, compiled(left.column)(e).term
+        df, ready = spread(left.df), {}
+        for name in sorted({a.args[0] for x in walk(e) if x.op in _NUMERIC for a in x.args if isinstance(a, Expr) and a.op == "var"} & set(left.vars)):
+            k = f"n_{_named(name)}"
+            v = Val(_c(name))
+            df = df.withColumns({f"{k}_{n}": c for n, c in (("dbl", v.dbl), ("dec", v.dec), ("rank", v.rank)) if f"{k}_{n}" not in df.columns})
+            ready[name] = _Read(_c(name), k, ("dbl", "dec", "rank"))
+        found = compiled(lambda name: ready[name] if name in ready else _c(name) if name in left.vars else None)(e)
+        if isinstance(found, Num):
+            df = df.withColumns({"n_dbl": found.dbl, "n_dec": found.dec, "n_rank": found.rank})
+            found = Num(F.col("n_dbl"), F.col("n_dec"), F.col("n_rank"))
+        return df, found.term
+
     # groups
     def group(self, g: Group) -> Solution:
         out: Solution | None = None
@@ -445,8 +469,8 @@ class Compiler:
                 v, e = p.args
                 if v.name in left.vars:
                     raise SparqlError(f"BIND to ?{v.name}, which is in scope already")
-                df = left.df.withColumn(_named(v.name), Expressions(left.column)(e).term)
-                out = Solution(df, [*left.vars, v.name], left.certain)
+                df, term = self._computed(left, e, lambda column_of: Expressions(column_of))
+                out = Solution(df.withColumn(_named(v.name), term), [*left.vars, v.name], left.certain).select([*left.vars, v.name])
             else:
                 found = self.part(p)
                 out = found if out is None else self.join(out, found)
@@ -494,12 +518,13 @@ class Compiler:
             if s.columns is None:
                 raise SparqlError("SELECT * with grouping")
             found, aggregates = self.aggregate(found, s)
-        compiled = lambda sol: Expressions(sol.column, {k: v(sol) for k, v in aggregates.items()})
+        compiled = lambda sol, column_of=None: Expressions(column_of or sol.column, {k: v(sol) for k, v in aggregates.items()})
         for v, e in s.columns or []:
             if e is not None:
                 if v.name in found.vars:
                     raise SparqlError(f"?{v.name} is in scope already")
-                found = Solution(found.df.withColumn(_named(v.name), compiled(found)(e).term), [*found.vars, v.name], found.certain)
+                df, term = self._computed(found, e, lambda column_of, sol=found: compiled(sol, column_of))
+                found = Solution(df.withColumn(_named(v.name), term), [*found.vars, v.name], found.certain)
         for e in s.having:
             found = Solution(found.df.where(compiled(found)(e).truth), found.vars, found.certain)
         names = [v for v in found.vars if not v.startswith("_")] if s.columns is None else [v.name for v, _ in s.columns]
@@ -540,7 +565,7 @@ class Compiler:
                 v, kind = compiled(x.args[0]), x.extra["name"]
                 read = {"term": v.term} if kind in ("COUNT", "SAMPLE") else {"text": v.text} if kind == "GROUP_CONCAT" else {"term": v.term, "dbl": v.dbl, "dec": v.dec, "rank": v.rank} if kind in ("SUM", "AVG") else {"term": v.term, "dbl": v.dbl, "text": v.text}
                 inputs |= {f"i{k}_{n}": c for n, c in read.items()}
-                own[id(x)] = _Read(k, read)
+                own[id(x)] = _Read(F.col(f"i{k}_term") if "term" in read else F.lit(None).cast("string"), f"i{k}", read)
         if inputs:
             scope = Solution(scope.df.withColumns(inputs), scope.vars, scope.certain)
         for k, x in enumerate(found_aggs):
@@ -600,11 +625,11 @@ class Compiler:
 class _Read(Val):
     """A value whose views are columns already."""
 
-    def __init__(self, k: int, names):
-        super().__init__(F.col(f"i{k}_term") if "term" in names else F.lit(None).cast("string"))
+    def __init__(self, term: Column, prefix: str, names):
+        super().__init__(term)
         for n in names:
             if n != "term":
-                setattr(self, n, F.col(f"i{k}_{n}"))
+                setattr(self, n, F.col(f"`{prefix}_{n}`"))
 
 
 def walk_outside(e: Expr):

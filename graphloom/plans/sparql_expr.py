@@ -165,7 +165,7 @@ class Expressions:
     def __call__(self, e: Expr) -> Val:
         if e.op == "var":
             c = self.column_of(e.args[0])
-            return Val(c if c is not None else F.lit(None).cast("string"))
+            return c if isinstance(c, Val) else Val(c if c is not None else F.lit(None).cast("string"))
         if e.op == "term":
             return Const(e.args[0])
         if e.op == "agg":

@@ -157,6 +157,11 @@ def typed_literal(c: Column, datatype: str) -> Column:
     return F.concat(F.lit('"'), escaped(c.cast("string")), F.lit(f'"^^<{datatype}>'))
 
 
+def number_literal(c: Column, datatype: str) -> Column:
+    """The literal of a number or date column, whose text holds nothing to escape."""
+    return F.concat(F.lit('"'), c.cast("string"), F.lit(f'"^^<{datatype}>'))
+
+
 def make_iri(c: Column) -> Column:
     return F.concat(F.lit("<"), c, F.lit(">"))
 
@@ -169,4 +174,6 @@ def local(t: Column) -> Column:
 
 def number(t: Column) -> Column:
     """The value of a numeric literal as a double; null for other terms."""
-    return F.when(is_literal(t) & datatype_of(t).isin(*NUMERIC), lex(t).try_cast("double"))
+    tail = tail_of(t)
+    inner = F.substr(t, F.lit(2), F.length(t) - F.length(tail) - 2)
+    return F.when(is_literal(t) & tail.isin(*[f"^^<{d}>" for d in NUMERIC]), unescaped(inner).try_cast("double"))
